@@ -167,21 +167,28 @@ def redact(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with every found span replaced by ``[kind]``.
 
     Rows are matched by the content address, so repeated ids are safe; the other
-    columns and their order stay.  Overlapping spans are merged first.
+    columns and their order stay.  Overlapping spans are merged first.  A column
+    ``n_chars`` follows the new length of the texts that change.
     """
     columns = docs.columns
     dirty = result.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
     dirty = dirty.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     keyed = docs.withColumn("__blob", blob_id(F.col(text_col))).withColumn("__salt", F.pmod(F.hash(F.col(id_col)), F.lit(SALT)))
-    joined = keyed.join(dirty, ["__blob", "__salt"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("__spans")))).select(*columns)
-
-
-@F.pandas_udf("string")
-def _masked(text, spans):  # pragma: no cover - runs in a worker
-    import pandas as pd
-
-    return pd.Series([None if t is None or s is None else mask(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
+    joined = keyed.join(dirty, ["__blob", "__salt"], "left").select(*columns, "__spans")
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, spans = batch.columns
+            masked = [t if s is None else mask(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(kept[at].to_pylist(), spans.to_pylist())]
+            kept[at] = pa.array(masked, pa.string())
+            if "n_chars" in columns:
+                k = columns.index("n_chars")
+                lengths = [n if s is None or t is None else len(t) for n, t, s in zip(kept[k].to_pylist(), masked, spans.to_pylist())]
+                kept[k] = pa.array(lengths, kept[k].type)
+            yield pa.RecordBatch.from_arrays(kept, columns)
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
