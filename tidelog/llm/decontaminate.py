@@ -73,7 +73,13 @@ def sketch_index(items: DataFrame, threshold: float) -> DataFrame:
     distinct = _hashes(items, ["item_id"]).select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles"))
     some = distinct.filter(F.size("shingles") > 0)
     kept = F.slice(F.col("shingles"), F.lit(1), sketch_length(F.size("shingles"), threshold))
-    return some.select("item_id", F.explode(kept).alias("hash"))
+    return some.select("item_id", _exploded(kept))
+
+
+def _exploded(hashes: Column) -> Column:
+    """One row per hash.  The outer form keeps the optimizer from inferring a
+    filter on the size, which would compute the shingles twice, and inlined."""
+    return F.explode_outer(hashes).alias("hash")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     keyed = _keyed(docs, id_col, text_col)
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     index = _sized(saved(sketch_index(tests, threshold), "sketches"))
-    probes = _hashes(keyed, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("shingles").alias("hash"))
+    probes = _hashes(keyed, ["doc_id", "text_key"]).select("doc_id", "text_key", _exploded(F.col("shingles")))
     pairs = saved(probes.join(index, "hash").select("doc_id", "text_key", "item_id").distinct(), "candidates")
 
     wanted = pairs.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "item_id")
