@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, near_dedup, quality, secret_scan, token_counts, token_files
+from . import bpe, decontaminate, html_extract, near_dedup, neighbours, quality, secret_scan, token_counts, token_files
 from .common import scratch, table
 
 
@@ -48,6 +48,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(docs, scratch(spark, "ledger")))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, end_id=2)
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_html_text, op3_minhash_dedup, op4_quality, op5_decontamination, op6_bpe_round_trip, op7_secret_scan, op9_token_files, op10_token_counts)
+    for f in (op2_html_text, op3_minhash_dedup, op4_quality, op5_decontamination, op6_bpe_round_trip, op7_secret_scan, op8_nearest_neighbours, op9_token_files, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE_SQL}
