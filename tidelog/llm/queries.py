@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, near_dedup, neighbours, quality, secret_scan, token_counts, token_files
+from . import bpe, decontaminate, html_extract, lm_score, near_dedup, neighbours, quality, secret_scan, token_counts, token_files
 from .common import scratch, table
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -64,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_html_text, op3_minhash_dedup, op4_quality, op5_decontamination, op6_bpe_round_trip, op7_secret_scan, op8_nearest_neighbours, op9_token_files, op10_token_counts)
+    for f in (op1_lm_scores, op2_html_text, op3_minhash_dedup, op4_quality, op5_decontamination, op6_bpe_round_trip, op7_secret_scan, op8_nearest_neighbours, op9_token_files, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE_SQL}
