@@ -28,39 +28,63 @@ Defined results
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Bounded
 from .common import saved, texts
 from .components import components
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: At similarity 0.8 a pair shares no bucket with a chance of 6e-5.
-BANDS, ROWS = 32, 6
+#: At similarity 0.8 a pair shares no bucket with a chance of 2e-4.
+BANDS, ROWS = 22, 5
 #: Buckets of word document frequencies.
 BUCKETS = 1 << 18
 #: A hot centre's members are dealt to this many tasks.
 SALT = 16
 #: Rows up to which a side is sent to every executor.
 BROADCAST_ROWS = 100_000
-_TABLE = 1 << 16
+_TABLE_BITS = 14
 _BLOCK = 1 << 12
 
 
-@functools.cache
-def _word_hashes() -> Bounded:
-    return Bounded(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")))
+# The bytes that separate words, and white space beyond ASCII.
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: An odd base of the byte polynomial and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15 | 4
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the lower-cased words between white space.
+
+    All words are hashed at once: a word's hash is the difference of two running
+    sums of bytes times powers of the base, moved to power 0 and scrambled.
+    """
+    text = text.lower()
+    if _WIDE_SPACE.search(text):
+        text = " ".join(text.split())
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACES[raw]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = _powers(1 << max(15, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,9 +105,10 @@ def weighted_shingles(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     runs = np.full(n - width + 1, width, np.uint64)
     weight = np.zeros(n - width + 1)
     for k in range(width):
-        runs = mixed(runs * np.uint64(0x9E3779B97F4A7C15) + words[k : n - width + 1 + k])
+        runs *= np.uint64(0x9E3779B97F4A7C15)
+        runs += words[k : n - width + 1 + k]
         weight += of_word[k : n - width + 1 + k]
-    hashes, first, counts = np.unique(runs, return_index=True, return_counts=True)
+    hashes, first, counts = np.unique(mixed(runs), return_index=True, return_counts=True)
     return hashes, counts * weight[first] / width
 
 
@@ -96,30 +121,37 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 @functools.cache
 def _draws():
-    """The random variables of the samples: per sample a multiplier, which deals
-    shingles to table entries, and tables of r, beta and ln c."""
+    """The random variables of the samples: a multiplier per sample, which deals
+    shingles to table entries, and tables of (1/r, beta) and (r, ln c + r (beta - 1)).
+    Each pair is one complex number, so that one lookup reads both."""
     random = np.random.default_rng(11)
-    multipliers = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    r = random.gamma(2.0, 1.0, _TABLE)
-    return multipliers, r.astype(np.float32), (1 / r).astype(np.float32), random.random(_TABLE).astype(np.float32), np.log(random.gamma(2.0, 1.0, _TABLE)).astype(np.float32)
+    size = 1 << _TABLE_BITS
+    multipliers = random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    r, beta, c = random.gamma(2.0, 1.0, size), random.random(size), random.gamma(2.0, 1.0, size)
+    return multipliers, (1 / r + 1j * beta).astype(np.complex64), (r + 1j * (np.log(c) + r * (beta - 1))).astype(np.complex64)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One value per sample, the scrambled (shingle, step) that it selects.
 
-    Ties fall to the smaller shingle hash, for hashes come sorted.
+    With t = floor(ln w / r + beta), the shingle of least ln c - r (t - beta + 1)
+    is selected.  Ties fall to the smaller shingle hash, for hashes come sorted.
     """
-    multipliers, r, inverse, beta, ln_c = _draws()
+    multipliers, steps_of, values_of = _draws()
     k = len(multipliers)
     best, chosen, steps = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.float32)
     row = np.arange(k)
-    for at in range(0, len(hashes), 512):
-        part = hashes[at : at + 512]
-        ln_w = np.log(weights[at : at + 512]).astype(np.float32)
-        index = ((part[None, :] * multipliers[:, None]) >> np.uint64(48)).astype(np.int32)
-        b = beta.take(index)
-        t = np.floor(inverse.take(index) * ln_w + b)
-        value = ln_c.take(index) - r.take(index) * (t - b + 1)
+    for at in range(0, len(hashes), 256):
+        part = hashes[at : at + 256]
+        ln_w = np.log(weights[at : at + 256]).astype(np.float32)
+        short = (part >> np.uint64(32)).astype(np.uint32)
+        index = ((short[None, :] * multipliers[:, None]) >> np.uint32(32 - _TABLE_BITS)).astype(np.intp)
+        drawn = steps_of.take(index, mode="clip")
+        t = drawn.real * ln_w
+        t += drawn.imag
+        np.floor(t, out=t)
+        drawn = values_of.take(index, mode="clip")
+        value = drawn.imag - drawn.real * t
         least = value.argmin(axis=1)
         found = value[row, least]
         better = found < best
@@ -148,8 +180,8 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         table, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for t in texts(batch.column(0)):
-                found = np.unique(word_hashes(t) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                table[found] += 1
+                found = (word_hashes(t) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                table[found] += 1  # once for each bucket, however often it occurs
                 rows += len(found) > 0
         if rows:
             blocks = [*range(BUCKETS // _BLOCK), -1]
