@@ -1 +1 @@
-
+"""Column helpers of the change feed."""

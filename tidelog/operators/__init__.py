@@ -1 +1 @@
-
+"""Operators over change-event DataFrames."""
