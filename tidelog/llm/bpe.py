@@ -34,16 +34,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
-
 #: Distinct words, and distinct fragments, that a worker keeps at least.
-CACHE = 500_000
+CACHE = 250_000
 #: Pre-tokens never span a space between two visible characters.  White space
 #: before a space that further white space or the end follows is left whole.
 _RUN = re.compile(r"\s (?:\s|$)")
 NEVER = 1 << 30
 #: What must be looked at before a text is cut at its single spaces.
 _WHITE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words with any of these are encoded one by one.
+_HARD = re.compile("[\x00-\x09\x0b-\x20\x7f-\xa0\u0530-\U0010ffff]")
 _BEYOND = re.compile("[^\x00-\u052f]")
 
 
@@ -101,6 +101,9 @@ class ForcedBoundaryBPE:
         for piece in self.ids:
             codes = np.frombuffer(piece, np.uint8)
             self.inside[codes[:-1], codes[1:]] = True
+        #: characters after whose last byte a space may stand within a token, and line breaks
+        self._open_ends = {chr(c) for c in range(0x530) if self.inside[chr(c).encode()[-1], 32]} | {"\n"}
+        self._spaced_pieces = np.array([x[:1] == b" " for x in self.pieces])
         self._inside_rows = [bytes(row) for row in self.inside.astype(np.uint8)]
         self._pair_rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
         self._made = {rank: new for rank, new in self.ranks.values()}
@@ -108,6 +111,8 @@ class ForcedBoundaryBPE:
         self._split = regex.compile(self.PATTERN)
         self._odd = regex.compile(_unassigned())
         self._marks = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
+        #: texts that may not be cut at single spaces, or hold special tokens, and some more
+        self._suspects = "  |\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]" + "".join("|" + re.escape(m) for m in self.special)
         self._path = path
         self._words: dict[str, bytes] = Bounded(self._encode_chunk)
         self._spaced: dict[str, bytes] = Bounded(lambda word: self._encode_chunk(" " + word))
@@ -125,6 +130,13 @@ class ForcedBoundaryBPE:
             return None
         return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})
 
+    @functools.cached_property
+    def _word_engine(self):
+        """The same with pre-tokens, for words that each have a space before them."""
+        import tiktoken
+
+        return tiktoken.Encoding("words", pat_str=self.PATTERN, mergeable_ranks=self.ids, special_tokens={})
+
     @functools.cached_property
     def _library(self):
         from tokenizers import Tokenizer
@@ -224,33 +236,57 @@ class ForcedBoundaryBPE:
         first, *rest = text.split(" ")
         return b"".join([self._words[first], *map(self._spaced.__getitem__, rest)])
 
-    def encode_batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of every word with a space before it.
+
+        Most words are laid side by side: no token crosses from another byte to a
+        space, so each word's start is a forced boundary and a pre-token boundary,
+        and the ids are cut again where a token begins with a space.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        ends = self._open_ends
+        easy = [k for k, w in enumerate(words) if w and w[0] != "\n" and w[-1] not in ends and not _HARD.search(w)] if self._engine is not None else []
+        if easy:
+            ids = np.array(self._word_engine.encode_ordinary("".join([" " + words[k] for k in easy])), "<u4")
+            bounds = [*np.flatnonzero(self._spaced_pieces[ids]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for k, a, b in zip(easy, bounds, bounds[1:]):
+                out[k] = raw[4 * a : 4 * b]
+        return [self._encode_chunk(" " + words[k]) if x is None else x for k, x in enumerate(out)]
+
+    def encode_batch(self, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the bounds of each text in it.
 
         The words of the batch are made distinct first, so each is looked up once;
         the ids are then gathered.  Texts with special tokens or longer white
         space are encoded one by one and put in their places.
         """
-        alone = {k: self.encode_bytes(t) for k, t in enumerate(batch) if self._whole(t) or self._marks and self._marks.search(t)}
-        lists = pc.split_pattern(pa.array([None if k in alone else t for k, t in enumerate(batch)], pa.large_string()), " ")
+        column = (pa.array(batch, pa.large_string()) if isinstance(batch, list) else batch.cast(pa.large_string())).fill_null("")
+        suspect = np.flatnonzero(pc.match_substring_regex(column, self._suspects).to_numpy(zero_copy_only=False)).tolist()
+        alone = {k: self.encode_bytes(t) for k in suspect if self._whole(t := column[k].as_py()) or self._marks and self._marks.search(t)}
+        if alone:
+            single = np.zeros(len(column), bool)
+            single[list(alone)] = True
+            lists = pc.split_pattern(pc.if_else(pa.array(single), pa.scalar(None, pa.large_string()), column), " ")
+        else:
+            lists = pc.split_pattern(column, " ")
         words = lists.flatten().dictionary_encode()
-        codes = words.indices.to_numpy()
-        starts = np.zeros(len(batch) + 1, np.int64)
+        codes = words.indices.to_numpy().astype(np.int64)
+        starts = np.zeros(len(column) + 1, np.int64)
         np.cumsum(lists.value_lengths().fill_null(0).to_numpy(), out=starts[1:])
-        spaced = list(map(self._spaced.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        spaced = self._spaced.many(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_spaced)
         n = len(spaced)
         # the first word of each text has no space before it: it gets a code of its own
-        heads = [k for k in range(len(batch)) if k not in alone]
-        codes = codes.astype(np.int64)
+        heads = [k for k in range(len(column)) if k not in alone]
         at = starts[:-1][heads]
-        spaced += [self._words[spaceless] for spaceless in words.dictionary.take(pa.array(codes[at])).to_pylist()]
+        spaced += [self._words[first] for first in words.dictionary.take(pa.array(codes[at])).to_pylist()]
         codes[at] = n + np.arange(len(heads))
         ids, word_sizes = gather(spaced, codes)
         ends = np.concatenate([[0], np.cumsum(word_sizes)])
         bounds = ends[starts]
         if alone:
             parts, sizes = [], np.diff(bounds)
-            for k in range(len(batch)):
+            for k in range(len(column)):
                 parts.append(np.frombuffer(alone[k], "<u4") if k in alone else ids[bounds[k] : bounds[k + 1]])
                 sizes[k] = len(parts[-1])
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
@@ -298,16 +334,17 @@ def gather(encoded: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return spread(source, starts[codes], own), own
 
 
-def slices(batch: list[str], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``limit`` characters together, for even memory."""
+def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` bytes together, for even memory."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy()
     at = held = 0
-    for k, t in enumerate(batch):
-        if held and held + len(t) > limit:
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > limit:
             yield at, k
             at, held = k, 0
-        held += len(t)
-    if at < len(batch):
-        yield at, len(batch)
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 class Bounded(dict):
@@ -332,6 +369,25 @@ class Bounded(dict):
             self[key] = value
         return value
 
+    def many(self, keys: list, function) -> list:
+        """The values of distinct keys; ``function`` makes all missing ones at once."""
+        out = list(map(self.get, keys))
+        absent = [k for k, v in enumerate(out) if v is None]
+        lost = []
+        for k in absent:
+            out[k] = self.old.get(keys[k])
+            if out[k] is None:
+                lost.append(k)
+        for k, value in zip(lost, function([keys[k] for k in lost])):
+            out[k] = value
+        for k in absent:
+            if len(keys[k]) <= self.longest:
+                if len(self) >= self.size:
+                    self.old = dict(self)
+                    self.clear()
+                self[keys[k]] = out[k]
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> ForcedBoundaryBPE:
@@ -348,9 +404,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
-            whole = texts(batch.column(1))
-            for lo, hi in slices(whole):
-                ids, bounds = bpe.encode_batch(whole[lo:hi])
+            for lo, hi in slices(batch.column(1)):
+                ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [ids[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds), pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -379,9 +434,8 @@ def round_trip_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
-            whole = texts(batch.column(1))
-            for lo, hi in slices(whole):
-                ids, bounds = bpe.encode_batch(whole[lo:hi])
+            for lo, hi in slices(batch.column(1)):
+                ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 of_ids = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 of_text = [hashlib.sha256(x).hexdigest() for x in bpe.decode_batch(ids, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

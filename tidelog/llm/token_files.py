@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import load, slices, spread
-from .common import remove, scratch, texts
+from .common import remove, scratch
 
 #: The start of every file, and its counts' layout.
 MAGIC = b"RANKIDS1"
@@ -145,9 +145,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
-            whole = texts(batch.column(1))
-            for lo, hi in slices(whole):
-                ids, bounds = bpe.encode_batch(whole[lo:hi])
+            for lo, hi in slices(batch.column(1)):
+                ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [np.concatenate([ids[a:b], end]).astype("<u4").tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(raw, pa.binary())], ["doc_id", "ids"])
 
