@@ -1 +1 @@
-
+"""Running change streams."""
