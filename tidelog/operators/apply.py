@@ -11,11 +11,12 @@ def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     """The last event of every key.
 
     One aggregate with map-side combine: a key of very many events is one row per
-    task before the shuffle, which a ranking window would not do.
+    task before the shuffle, which a ranking window would not do.  Only ``order``
+    is compared, so the other columns may be of any type; it should be total.
     """
     rest = [c for c in log.columns if c not in keys]
-    best = F.max(F.struct(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.struct(*rest).alias("__row"))).alias("__best")
-    return log.groupBy(*keys).agg(best).select(*keys, "__best.__row.*").select(*log.columns)
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("__best")
+    return log.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*log.columns)
 
 
 def current_state(log: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:

@@ -62,8 +62,8 @@ def tuple_value(kind: Column, text: Column, oid: Column, raw: Column | None = No
     unsigned = F.conv(bits, 16, 10).cast("decimal(20,0)")
 
     def signed(width: int) -> Column:
-        top = F.lit(1 << (width - 1)).cast("decimal(20,0)")
-        return F.when(unsigned >= top, unsigned - F.lit(1 << width).cast("decimal(21,0)")).otherwise(unsigned).cast("bigint")
+        top, all_of = (F.lit(str(1 << k)).cast("decimal(20,0)") for k in (width - 1, width))
+        return F.when(unsigned >= top, unsigned - all_of).otherwise(unsigned).cast("bigint")
 
     return (
         F.when(kind == "t", text)
@@ -71,7 +71,7 @@ def tuple_value(kind: Column, text: Column, oid: Column, raw: Column | None = No
         .when((kind == "b") & (oid == 21), signed(16).cast("string"))
         .when((kind == "b") & (oid == 23), signed(32).cast("string"))
         .when((kind == "b") & (oid == 20), signed(64).cast("string"))
-        .when((kind == "b") & (oid == 700), _ieee(unsigned.cast("bigint"), 8, 23).cast("float").cast("string"))
+        .when((kind == "b") & (oid == 700), _ieee(F.conv(F.substring(bits, 1, 8), 16, 10).cast("bigint"), 8, 23).cast("float").cast("string"))
         .when((kind == "b") & (oid == 701), _ieee64(bits).cast("string"))
         .when((kind == "b") & oid.isin(25, 1043, 1042, 114), F.decode(raw, "UTF-8"))
         .when(kind == "b", F.lower(bits))
