@@ -10,24 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontaminate, near_dedup, quality, secret_scan
-from tidelog.llm.common import saved, scratch, table
+from tidelog.llm.common import bound_batches, saved, scratch, table
 from tidelog.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier does not reject; it learns from the given labels
     and the documents that are labelled."""
+    bound_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates."""
+    bound_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item was found."""
+    bound_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,11 +39,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     ``n_chars`` follows the new text where the table has it.
     """
+    bound_batches(spark)
     return secret_scan.redact(docs, secret_scan.scan_secrets(docs, scratch(spark, "ledger")))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row."""
+    bound_batches(spark)
     return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -334,6 +334,18 @@ def gather(encoded: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return spread(source, starts[codes], own), own
 
 
+def grouped(batches: Iterator[pa.RecordBatch], limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in groups of about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` bytes together, for even memory."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy()
@@ -403,7 +415,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in grouped(batches):
             for lo, hi in slices(batch.column(1)):
                 ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [ids[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
@@ -433,7 +445,7 @@ def round_trip_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in grouped(batches):
             for lo, hi in slices(batch.column(1)):
                 ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 of_ids = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html_extract, lm_score, near_dedup, neighbours, quality, secret_scan, token_counts, token_files
-from .common import scratch, table
+from .common import bound_batches, scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,8 +66,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _bounded(f)
     for f in (op1_lm_scores, op2_html_text, op3_minhash_dedup, op4_quality, op5_decontamination, op6_bpe_round_trip, op7_secret_scan, op8_nearest_neighbours, op9_token_files, op10_token_counts)
 }
 

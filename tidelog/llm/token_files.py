@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import load, slices, spread
+from .bpe import grouped, load, slices
 from .common import remove, scratch
 
 #: The start of every file, and its counts' layout.
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in grouped(batches):
             for lo, hi in slices(batch.column(1)):
                 ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [np.concatenate([ids[a:b], end]).astype("<u4").tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
