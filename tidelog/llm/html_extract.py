@@ -195,20 +195,24 @@ class ConditionalRandomField:
                 for f in row:
                     index.setdefault(f, len(index))
         count, longest, width = len(pages), max(len(r) for r, _ in pages), len(index)
-        x = np.zeros((count, longest, width), np.float32)
+        # the features of each block as indices, filled up with one that has no weight
+        most = max(len(row) for rows, _ in pages for row in rows)
+        x = np.full((count, longest, most), width)
         y, mask = np.zeros((count, longest), int), np.zeros((count, longest), bool)
         for k, (rows, labels) in enumerate(pages):
             for t, row in enumerate(rows):
-                x[k, t, [index[f] for f in row]] = 1
+                x[k, t, : len(row)] = [index[f] for f in row]
             y[k, : len(labels)], mask[k, : len(labels)] = labels, True
-        flat = x.reshape(-1, width)
+        flat = x.reshape(-1, most)
+        who = flat.reshape(-1)
         gold = np.eye(2)[y] * mask[..., None]
         pairs = mask[:, 1:, None, None] * np.einsum("kta,ktb->ktab", gold[:, :-1], gold[:, 1:])
         parameters = [np.zeros((width, 2)), np.zeros((2, 2)), np.zeros(2)]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
         for step in range(1, steps + 1):
             emission, transition, start = parameters
-            e = (flat @ emission).reshape(count, longest, 2)
+            padded = np.concatenate([emission, np.zeros((1, 2))])
+            e = padded[flat].sum(axis=1).reshape(count, longest, 2)
             a, b = np.zeros_like(e), np.zeros_like(e)
             a[:, 0] = start + e[:, 0]
             for t in range(1, longest):
@@ -222,7 +226,8 @@ class ConditionalRandomField:
             single = np.exp(a + b - log_z) * mask[..., None]
             double = np.exp(a[:, :-1, :, None] + transition + (e[:, 1:] + b[:, 1:])[:, :, None, :] - log_z[..., None]) * mask[:, 1:, None, None]
             wrong = (gold - single).reshape(-1, 2)
-            gradients = [flat.T @ wrong / count - ridge * emission / 10, (pairs - double).sum((0, 1)) / count - ridge * transition, (gold[:, 0] - single[:, 0]).sum(0) / count - ridge * start]
+            own = np.stack([np.bincount(who, np.repeat(wrong[:, c], most), width + 1)[:width] for c in (0, 1)], axis=1)
+            gradients = [own / count - ridge * emission / 10, (pairs - double).sum((0, 1)) / count - ridge * transition, (gold[:, 0] - single[:, 0]).sum(0) / count - ridge * start]
             for p, g, (m, v) in zip(parameters, gradients, moments):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
