@@ -82,13 +82,13 @@ def test_secret_ledger(spark, docs, empty, tmp_path):
         for b in batches:
             if b.num_rows:
                 raise AssertionError("a known blob was scanned")
-            yield b.select(["blob"]).append_column("spans", [])
+        return
+        yield
 
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     store = secret_scan.BlobLedger(spark, ledger)
-    store_rows = store.entries(secret_scan.RULE_VERSION)
-    secret_scan.scan_unseen(versions, store, scanner=lambda batches: (b for b in forbidden(batches) if False))
-    assert store.entries(secret_scan.RULE_VERSION).count() == before and store_rows is not None
+    secret_scan.scan_unseen(versions, store, scanner=forbidden)
+    assert store.entries(secret_scan.RULE_VERSION).count() == before
     secret_scan.scan_unseen(versions, store, "other-rules")
     assert store.entries("other-rules").count() == before
     assert secret_scan.scan_secrets(empty, f"file://{tmp_path}/none").count() == 0

@@ -118,7 +118,7 @@ def scan_unseen(versions: DataFrame, ledger: BlobLedger, rule_version: str = RUL
         unseen.alias("u"), F.col("a.path").eqNullSafe(F.col("u.first_path")) & (F.col("a.blob") == F.col("u.blob")), "left_semi"
     )
     found = first.select("blob", "text").mapInArrow(scanner, f"blob string, spans {SPANS}")
-    ledger.append(found, rule_version)
+    ledger.append(found.dropDuplicates(["blob"]), rule_version)  # rows repeated with id and text
 
 
 def findings_by_path(versions: DataFrame, ledger: BlobLedger, rule_version: str = RULE_VERSION) -> DataFrame:
