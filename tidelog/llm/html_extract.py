@@ -48,8 +48,11 @@ CLOSES = {
 #: ... but not beyond these.
 SCOPE = frozenset("html body ul ol dl table tbody thead article section div main aside nav footer header form".split())
 
+# Every repetition is possessive, so a malformed tag is given up after one pass.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[/a-zA-Z!?][^<>]*\Z",
+    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attributes>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*+)[^<>]*+>|<[/a-zA-Z!?][^<>]*+\Z",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
