@@ -174,6 +174,18 @@ def test_language_model_table(docs, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_language_model_counts_rare_words(spark):
+    filler = " ".join(f"f{k}" for k in range(lm_score.WORDS))
+    once, *others = (f"r{k}" for k in range(10_000))
+    thrice = next(w for w in others if lm_score.word_hash(w) % lm_score.RARE == lm_score.word_hash(once) % lm_score.RARE)
+    rows = [(k, filler) for k in range(4)] + [(10, once)] + [(20 + k, thrice) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for carried in (lm_score.CARRIED, 0):  # counted by the driver's words, and in the shuffle
+        got = {r.doc_id: r.log_likelihood for r in lm_score.lm_scores(docs, carried=carried).collect()}
+        assert len(got) == len(rows) and got[20] == got[22]
+        assert got[20] - got[10] == pytest.approx(np.log(3), abs=1e-6)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 16))
