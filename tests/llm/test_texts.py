@@ -122,6 +122,11 @@ def test_weighted_sampling_estimates_similarity():
     assert len(near_dedup.weighted_shingles(" \n", idf)[0]) == 0 and len(near_dedup.weighted_shingles("one two", idf)[0]) == 1
 
 
+def test_bands_miss_few_pairs():
+    assert (1 - near_dedup.THRESHOLD**near_dedup.ROWS) ** near_dedup.BANDS < 6e-5
+    assert len(near_dedup._draws()[1]) >= 1 << 16
+
+
 def test_word_hashes():
     for text in ["", "a b a", "Ein  Wort\n\tund　mehr é", "\x00 x", *ODD, *noise(200, 7)]:
         words, hashes = text.lower().split(), near_dedup.word_hashes(text)

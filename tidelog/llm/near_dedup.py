@@ -40,15 +40,15 @@ from .components import components
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: At similarity 0.8 a pair shares no bucket with a chance of 2e-4.
-BANDS, ROWS = 22, 5
+#: At similarity 0.8 a pair shares no bucket with a chance of 6e-5.
+BANDS, ROWS = 32, 6
 #: Buckets of word document frequencies.
 BUCKETS = 1 << 18
 #: A hot centre's members are dealt to this many tasks.
 SALT = 16
 #: Rows up to which a side is sent to every executor.
 BROADCAST_ROWS = 100_000
-_TABLE_BITS = 14
+_TABLE_BITS = 16
 _BLOCK = 1 << 12
 
 
