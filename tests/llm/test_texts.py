@@ -175,6 +175,16 @@ def test_pages():
     assert html_extract.main_text("", field) == "" and html_extract.main_text("<p", field) == "" and isinstance(html_extract.main_text("<a" * 2000 + "'\"", field), str)
 
 
+def test_page_text_that_no_tag_drops():
+    said = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert said("<html><head><title>T</title><p>Text") == said("<head>\n<meta charset=x><style>a{}</style>Text") == ["Text"]
+    assert said("<head><template><p>no</p></template><script>1</script></head><body><p>Text") == ["Text"]
+    assert [b.ancestors for b in html_extract.blocks("<head><title>T</title><p>Text")] == [(("p", ()),)]
+    assert said("<p>Let <math><msup><mi>x</mi><mn>2</mn></msup></math> be.<p>Next") == ["Let x2 be.", "Next"]
+    assert said('<div><svg><title>no</title><path d="M0"/><text>Axis</text></svg><p>One<svg/>two</div>') == ["Axis", "One", "two"]
+    assert [b.ancestors[-1][0] for b in html_extract.blocks("<div><svg/><p>One")] == ["p"]
+
+
 def test_language_model_learns():
     r = random.Random(4)
     words = [f"w{k}" for k in range(40)]

@@ -11,6 +11,7 @@ break tag too) made one space, and ends trimmed.  Blocks without text are none.
 
 Defined results
     null or empty html   the empty text
+    an open head         ends at the first tag or text that may not stand in it
     no tags at all       one block, decoded like any other
     cut-off pages        read as far as they go; an unfinished tag is dropped
     repeated rows        every row keeps its own result row
@@ -33,12 +34,17 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 # HTML's element classes.
-INLINE = frozenset(
+MATH = frozenset(
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-SILENT = frozenset("script style noscript template title svg math iframe object canvas audio video textarea select head".split())
+SILENT = frozenset("script style noscript template title iframe object canvas audio video textarea select".split())
+#: What may stand in the head; any other tag, and text that is not blank, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements whose content is read raw up to their end tag.
 RAW = frozenset("script style title textarea iframe noscript".split())
 #: An opening tag of the key ends an open element of the values.
@@ -81,7 +87,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pending: list[str] = []
-    linked = silent = in_link = 0
+    linked = silent = in_link = in_head = foreign = 0
 
     def flush() -> None:
         nonlocal linked
@@ -92,14 +98,22 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def pop() -> None:
-        nonlocal silent, in_link
+        nonlocal silent, in_link, in_head, foreign
         tag = stack.pop()[0]
         silent -= tag in SILENT
         in_link -= tag == "a"
+        in_head -= tag == "head"
+        foreign -= tag in ("svg", "math")
+
+    def end_head() -> None:
+        while in_head and not silent:
+            pop()
 
     def say(text: str) -> None:
         nonlocal linked
         if text and not silent:
+            if in_head and not text.isspace():
+                end_head()
             text = html.unescape(text)
             pending.append(text)
             if in_link:
@@ -116,6 +130,8 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         attributes = m["attributes"] or ""
+        if in_head and tag not in HEAD and not (m["end"] or m["end2"]):
+            end_head()
         if tag == "br":
             say(" ")
             continue
@@ -138,7 +154,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "body":
                 while stack and stack[-1][0] != "html":
                     pop()
-        if tag in VOID or attributes.endswith("/") and tag in SILENT:
+        if tag in VOID or attributes.endswith("/") and (foreign or tag in SILENT or tag in ("svg", "math")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
@@ -146,6 +162,8 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, names(attributes)))
         silent += tag in SILENT
         in_link += tag == "a"
+        in_head += tag == "head"
+        foreign += tag in ("svg", "math")
     say(page[at:])
     flush()
     return found
