@@ -6,6 +6,9 @@ cuts of a text are the boundaries of its pre-tokens and, within a pre-token,
 these byte pairs.  Each fragment is encoded on its own by ranked merges, with a
 bounded cache, and the ids are concatenated.
 
+With tiktoken, most words are not cut so: they go to it whole, many in one call,
+with forced boundaries only between them (:meth:`_encode_spaced`).
+
 Pre-tokens come first because their pattern looks ahead over white space, which
 a cut text would hide.  A text that holds code points on whose class Unicode
 versions differ is pre-tokenized by the tokenizers library itself.
