@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import remove, scratch
+from .common import remove, saved, scratch
 
 #: Each hot vertex's edges are dealt to this many join keys.
 SALT = 8
@@ -39,25 +39,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     when a round changes no edge.  An empty table gives an empty result.
     """
     spark = edges.sparkSession
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     path = scratch(spark, "stars")
     schema = edges.select("u", "v").schema
 
-    def written(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{path}/{k}")
-        return spark.read.schema(schema).parquet(f"{path}/{k}")
+    def written(df: DataFrame, k: int) -> tuple[DataFrame, dict]:
+        """The edges, written and read again, with their number and a checksum."""
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).write.parquet(f"{path}/{k}")
+        return spark.read.schema(schema).parquet(f"{path}/{k}"), seen.get
 
-    now = written(edges.select("u", "v").filter("u != v").distinct(), 0)
-    seen = state(now)
+    now, seen = written(edges.select("u", "v").filter("u != v").distinct(), 0)
     for k in range(1, rounds + 1):
-        if not seen[0]:
+        if not seen["n"]:
             break
-        now = written(_small_star(_large_star(now)), k)
-        if k > 1:
-            remove(spark, f"{path}/{k - 1}")
-        before, seen = seen, state(now)
+        before = seen
+        now, seen = written(_small_star(_large_star(now)), k)
+        remove(spark, f"{path}/{k - 1}")
         if before == seen:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct())
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The result of :func:`components` for further ``edges`` besides those of ``roots``.
+
+    Only edges between different roots count, so the stars are of what is new.
+    """
+    if edges.limit(1).count() == 0:
+        return roots
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    mapped = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    joined = components(mapped.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    moved = moved.select("node", F.coalesce("to", "root").alias("root"))
+    return saved(moved.unionAll(joined.join(roots, "node", "left_anti")), "roots")

@@ -9,8 +9,13 @@ buckets, so the table is as large for any corpus.
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
 document, each equal for two documents with the probability of their weighted
 Jaccard similarity.  Bands of samples are bucket keys.  In each bucket the
-members are compared with one centre, drawn anew in each bucket; what a centre
-does not bring together is compared in pairs.  Every link that counts is
+members are compared with one centre, drawn anew in each bucket.  Members that
+no centre brought together meet again by weighted prefixes: with shingles in one
+order, the rare ones first, two texts of similarity t share a shingle in the part
+of each before the last t of its weight, and from the first such shingle on both
+must hold enough weight for the overlap.  So what only shares a common passage
+does not meet.  There, too, all members of a shingle are first compared with one,
+the lightest, and only those still apart in pairs.  Every link that counts is
 verified by the exact weighted Jaccard similarity of the whole texts.  Classes
 are the connected components of the verified links.
 
@@ -33,21 +38,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import saved, texts
-from .components import components
+from .components import components, extended
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: At similarity 0.8 a pair shares no bucket with a chance of 6e-5.
-BANDS, ROWS = 32, 6
+#: At similarity 0.8 a pair shares no bucket with a chance of 4.9e-5.
+BANDS, ROWS = 25, 5
 #: Buckets of word document frequencies.
 BUCKETS = 1 << 18
 #: A hot centre's members are dealt to this many tasks.
 SALT = 16
 #: Rows up to which a side is sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Allows for rounding where weights are compared before the exact check.
+_NEARLY = 1 - 1e-9
 _TABLE_BITS = 16
 _BLOCK = 1 << 12
 
@@ -169,8 +176,9 @@ def bucket_keys(drawn: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Inverse document frequency of each word bucket, over all documents.
+def bucket_counts(docs: DataFrame, found, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many texts each of ``BUCKETS`` hash buckets occurs, and how many texts
+    have any; ``found`` gives the hashes of a text.
 
     Each task counts its rows in one array; the arrays meet block by block.
     What reaches the driver is the table, of a fixed size.
@@ -180,9 +188,9 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         table, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for t in texts(batch.column(0)):
-                found = (word_hashes(t) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                table[found] += 1  # once for each bucket, however often it occurs
-                rows += len(found) > 0
+                own = (found(t) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                table[own] += 1  # once for each bucket, however often it occurs
+                rows += len(own) > 0
         if rows:
             blocks = [*range(BUCKETS // _BLOCK), -1]
             parts = [*table.reshape(-1, _BLOCK), np.array([rows])]
@@ -200,7 +208,12 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     summed = docs.select(text_col).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
     parts = {r["block"]: np.frombuffer(r["counts"], "<u8") for r in summed}
     rows = int(parts.pop(-1)[0]) if -1 in parts else 0
-    table = np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(BUCKETS)
+    return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(BUCKETS), rows
+
+
+def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Inverse document frequency of each word bucket, over all documents."""
+    table, rows = bucket_counts(docs, word_hashes, text_col)
     return (np.log((rows + 1) / (table + 1.0)) + 0.1).astype(np.float32)
 
 
@@ -212,21 +225,27 @@ def vertices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def sketches(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, size, keys) of each distinct text."""
+    """(node, keys) of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
-            for t in texts(batch.column(1)):
-                hashes, weights = weighted_shingles(t, idf)
-                sizes.append(float(weights.sum()))
-                keys.append(bucket_keys(samples(hashes, weights)))
+            keys = [bucket_keys(samples(*weighted_shingles(t, idf))) for t in texts(batch.column(1))]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.float64()), lists], ["node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
 
     named = rows.filter(F.col("node").isNotNull()).select("node", "text")
-    return named.mapInArrow(run, "node binary, size double, keys array<long>").dropDuplicates(["node"])
+    return named.mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
+
+
+def one_text_each(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text) of each ``node`` of ``needed``, whose nodes are distinct."""
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Of a text with many copies one row is read: the copies are told apart by id first.
+    firsts = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(F.broadcast(needed) if few else needed, "node", "left_semi")
+    firsts = saved(firsts, "first-rows").select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
+    same = (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    return saved(rows.join(F.broadcast(firsts) if few else firsts, same, "left_semi").select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -236,13 +255,7 @@ def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: floa
     partner's text is compared with it as it streams by.  A v with very many
     partners is dealt to ``SALT`` tasks.
     """
-    needed = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # Of a text with many copies one row is read: the copies are told apart by id first.
-    firsts = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(F.broadcast(needed) if few else needed, "node", "left_semi")
-    firsts = saved(firsts, "first-rows").select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
-    same = (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    content = saved(rows.join(F.broadcast(firsts) if few else firsts, same, "left_semi").select("node", "text").dropDuplicates(["node"]), "pair-texts")
+    content = one_text_each(rows, pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
     salted = pairs.withColumn("salt", F.pmod(F.hash("u"), F.lit(SALT)))
     leads = salted.select("v", "salt").distinct().join(content, F.col("v") == F.col("node")).select("v", "salt", F.lit(None).cast("binary").alias("u"), "text")
     members = salted.join(content, F.col("u") == F.col("node")).select("v", "salt", "u", "text")
@@ -264,10 +277,9 @@ def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: floa
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
-def near_links(rows: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (u, v) that connect what all verified candidate pairs connect."""
-    sketched = saved(sketches(rows, idf), "sketches")
-    entries = sketched.select(F.explode("keys").alias("key"), "node", "size")
+def near_classes(rows: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of every text that verified links connect with another."""
+    entries = saved(sketches(rows, idf), "sketches").select(F.explode("keys").alias("key"), "node")
     order = F.struct(F.xxhash64("node", "key"), F.col("node"))
     # every bucket of two or more, with the centre that all its members meet
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1").select("key", F.col("least.node").alias("centre"))
@@ -275,18 +287,83 @@ def near_links(rows: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -
     stars = saved(held.filter("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "stars-tried")
     links = saved(verified(stars, rows, idf, threshold), "star-links")
 
-    # members of one bucket that are still apart are compared in pairs
+    # members of one bucket that are still apart
     roots = components(links)
-    placed = held.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    apart = placed.join(mixed_keys, "key", "left_semi")
-    a, b = apart.alias("a"), apart.alias("b")
-    near = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold * 0.999)
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near)
-    tried = stars.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")), "left_anti")
-    more = saved(verified(saved(rest, "rest-tried"), rows, idf, threshold), "rest-links")
-    return links.unionAll(more)
+    placed = held.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
+    apart = saved(placed.join(apart_keys, "key", "left_semi").select("node").distinct(), "apart")
+    entries = saved(prefixes(one_text_each(rows, apart), idf, threshold), "prefixes")
+    tried = stars
+    for together in (_with_lightest, _in_pairs):
+        rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = saved(together(rooted, threshold).join(tried, ["u", "v"], "left_anti"), "pairs-tried")
+        if pairs.limit(1).count():
+            roots = extended(roots, saved(verified(pairs, rows, idf, threshold), "pair-links"))
+            tried = tried.unionAll(pairs)
+    return roots
+
+
+def prefixes(named: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(shingle, node, size, rest) for each shingle in the prefix of each text.
+
+    Shingles are ordered by how many of these texts hold their hash bucket, then by
+    hash; ``rest`` is the weight from the shingle on.  Two texts at the threshold
+    have an overlap of at least it times either weight, so the first shingle that
+    they share lies where ``rest`` is at least that in both.
+    """
+    table, _ = bucket_counts(named, lambda t: weighted_shingles(t, idf)[0])
+    # the order needs no finer steps than these
+    steps = np.minimum(255, 12 * np.log2(table + 1.0)).astype(np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, ends, sizes, rests = [], [0], [], []
+            for t in texts(batch.column(1)):
+                hashes, weights = weighted_shingles(t, idf)
+                order = np.lexsort((hashes, steps[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                rest = weights[order][::-1].cumsum()[::-1]
+                size = float(weights.sum())
+                last = int((rest >= threshold * size * _NEARLY).sum())
+                kept.append(hashes[order[:last]].view(np.int64))
+                rests.append(rest[:last])
+                sizes.append(size)
+                ends.append(ends[-1] + last)
+            flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((kept, np.int64), (rests, np.float64))]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.float64()), *lists], ["node", "size", "shingles", "rests"])
+
+    listed = named.mapInArrow(run, "node binary, size double, shingles array<long>, rests array<double>")
+    return listed.select("node", "size", F.explode(F.arrays_zip("shingles", "rests")).alias("one")).select(F.col("one.shingles").alias("shingle"), "node", "size", F.col("one.rests").alias("rest"))
+
+
+def _may_link(threshold: float) -> Column:
+    """Whether entries a and b of one shingle, as the first that they share, leave room for the overlap."""
+    room = F.least("a.rest", "b.rest") >= (F.col("a.size") + F.col("b.size")) * F.lit(threshold / (1 + threshold) * _NEARLY)
+    return room & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold * _NEARLY)) & (F.col("a.root") != F.col("b.root"))
+
+
+def _pair() -> list[Column]:
+    return [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
+
+
+def _with_lightest(entries: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): each entry with the lightest text of its shingle."""
+    lightest = F.min(F.struct("size", "node", "rest", "root")).alias("least")
+    hubs = entries.groupBy("shingle").agg(lightest, F.max("root").alias("last"), F.min("root").alias("first")).filter("first != last").select("shingle", "least.*")
+    same = (F.col("a.shingle") == F.col("b.shingle")) & _may_link(threshold)
+    return entries.alias("a").join(hubs.alias("b"), same).select(*_pair()).distinct()
+
+
+def _in_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): entries of one shingle in pairs, where it still has several classes.
+
+    An entry goes before if even the lightest text of its shingle is too heavy for it.
+    """
+    groups = entries.groupBy("shingle").agg(F.min("size").alias("least"), F.max("root").alias("last"), F.min("root").alias("first")).filter("first != last")
+    able = F.col("rest") >= (F.col("size") + F.col("least")) * F.lit(threshold / (1 + threshold) * _NEARLY)
+    left = entries.join(groups, "shingle").filter(able).select("shingle", "node", "size", "rest", "root")
+    same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & _may_link(threshold)
+    return left.alias("a").join(left.alias("b"), same).select(*_pair()).distinct()
 
 
 def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +374,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     """
     rows = vertices(docs, id_col, text_col)
     idf = word_idf(docs, text_col)
-    roots = components(near_links(rows, idf, threshold))
+    roots = near_classes(rows, idf, threshold)
     ids = rows.select("doc_id", "node")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     distinct = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"))
