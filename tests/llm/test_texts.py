@@ -43,6 +43,16 @@ def test_bpe_equals_the_library(coder, library, compiled):
     assert [x.decode() for x in coder.decode_batch(ids, bounds)] == [library.decode(coder.encode(t), skip_special_tokens=False) for t in cases]
 
 
+def test_batches_equal_the_library(coder, library):
+    """Words of every kind side by side: plain ones, which are cut together, and others."""
+    r = random.Random(5)
+    parts = [*"aZqéàß×÷ÿʰɿɐ07²½st'.,-_([~{ж漢😀\x00\x7f\t\r\x1cªºµǅˀ\u0300\xa0", "'s", "'re", "\n", "\n\n", "\n\n\n", "!!", "  ", *[" "] * 6, "<|endoftext|>", "don't", "hello", "Straße", " the", "über ", "qzxj", "123 "]
+    for _ in range(20):
+        cases = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(100)]
+        ids, bounds = coder.encode_batch(cases)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x.ids for x in library.encode_batch(cases, add_special_tokens=False)]
+
+
 def test_forced_boundaries(coder):
     for word in (b"zqxj", "wörd漢".encode(), b"hello"):
         parts = coder.fragments(word)

@@ -4,10 +4,8 @@ A merge product is a vocabulary token, so a pair of neighbouring bytes that
 occurs inside no token can never be merged over: it marks a certain cut.  The
 cuts of a text are the boundaries of its pre-tokens and, within a pre-token,
 these byte pairs.  Each fragment is encoded on its own by ranked merges, with a
-bounded cache, and the ids are concatenated.
-
-With tiktoken, most words are not cut so: they go to it whole, many in one call,
-with forced boundaries only between them (:meth:`_encode_spaced`).
+bounded cache, and the ids are concatenated.  Words are cut many at a time, and
+new fragments are merged many at a time by a compiled loop, if it is installed.
 
 Pre-tokens come first because their pattern looks ahead over white space, which
 a cut text would hide.  A text that holds code points on whose class Unicode
@@ -37,16 +35,20 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct words, and distinct fragments, that a worker keeps at least.
-CACHE = 250_000
+from .common import release_memory
+
+#: Distinct words, and distinct fragments, that a worker keeps at least while a task runs.
+CACHE = 120_000
 #: Pre-tokens never span a space between two visible characters.  White space
 #: before a space that further white space or the end follows is left whole.
 _RUN = re.compile(r"\s (?:\s|$)")
 NEVER = 1 << 30
+#: Stands between pre-tokens and fragments that are handled together; no word that holds it is.
+_MARK = "\0"
 #: What must be looked at before a text is cut at its single spaces.
 _WHITE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words with any of these are encoded one by one.
-_HARD = re.compile("[\x00-\x09\x0b-\x20\x7f-\xa0\u0530-\U0010ffff]")
+#: What the bytes of plain words are to the pre-token pattern.
+_SPACE, _LETTER, _DIGIT, _BREAK, _OTHER = range(5)
 _BEYOND = re.compile("[^\x00-\u052f]")
 
 
@@ -104,9 +106,15 @@ class ForcedBoundaryBPE:
         for piece in self.ids:
             codes = np.frombuffer(piece, np.uint8)
             self.inside[codes[:-1], codes[1:]] = True
-        #: characters after whose last byte a space may stand within a token, and line breaks
-        self._open_ends = {chr(c) for c in range(0x530) if self.inside[chr(c).encode()[-1], 32]} | {"\n"}
-        self._spaced_pieces = np.array([x[:1] == b" " for x in self.pieces])
+        #: plain words: ASCII without apostrophes, and Latin letters; line breaks inside only;
+        #: after the last character's last byte no token goes on with a space
+        shown = r"!-&(-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{27f}"
+        ends = [c for c in range(33, 0x280) if chr(c).encode()[-1] in np.flatnonzero(~self.inside[:, 32])]
+        last = "".join(f"\\x{{{c:x}}}" for c in ends if c not in (39, 127, 0xD7, 0xF7) and not 128 <= c < 0xC0)
+        self._plain_word = rf"\A(?:[{shown}]+\n+)*[{shown}]*[{last}]\z"
+        self._kinds = np.full(256, _OTHER, np.uint8)
+        self._kinds[[*b"\n"]], self._kinds[[*b" "]], self._kinds[[*b"0123456789"]] = _BREAK, _SPACE, _DIGIT
+        self._kinds[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
         self._inside_rows = [bytes(row) for row in self.inside.astype(np.uint8)]
         self._pair_rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
         self._made = {rank: new for rank, new in self.ranks.values()}
@@ -119,7 +127,7 @@ class ForcedBoundaryBPE:
         self._path = path
         self._words: dict[str, bytes] = Bounded(self._encode_chunk)
         self._spaced: dict[str, bytes] = Bounded(lambda word: self._encode_chunk(" " + word))
-        self._fragments: dict[bytes, bytes] = Bounded(self._merge, CACHE // 4)
+        self._fragments: dict[bytes, bytes] = Bounded(self._merge)
 
     @functools.cached_property
     def _engine(self):
@@ -131,14 +139,7 @@ class ForcedBoundaryBPE:
         ordered = sorted(self.ranks.values())
         if any(a[1] >= b[1] for a, b in zip(ordered, ordered[1:])) or len({new for _, new in ordered}) < len(ordered):
             return None
-        return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})
-
-    @functools.cached_property
-    def _word_engine(self):
-        """The same with pre-tokens, for words that each have a space before them."""
-        import tiktoken
-
-        return tiktoken.Encoding("words", pat_str=self.PATTERN, mergeable_ranks=self.ids, special_tokens={})
+        return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={_MARK: self.size})
 
     @functools.cached_property
     def _library(self):
@@ -239,23 +240,63 @@ class ForcedBoundaryBPE:
         first, *rest = text.split(" ")
         return b"".join([self._words[first], *map(self._spaced.__getitem__, rest)])
 
-    def _encode_spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of every word with a space before it.
+    def _encode_spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a space before it: all ids, and where
+        each word's start and how many they are.
 
-        Most words are laid side by side: no token crosses from another byte to a
-        space, so each word's start is a forced boundary and a pre-token boundary,
-        and the ids are cut again where a token begins with a space.
+        Plain words are laid side by side and cut together, at pre-token boundaries
+        and forced byte pairs; their distinct fragments are looked up or merged.
+        Others are encoded one by one.
         """
-        out: list[bytes | None] = [None] * len(words)
-        ends = self._open_ends
-        easy = [k for k, w in enumerate(words) if w and w[0] != "\n" and w[-1] not in ends and not _HARD.search(w)] if self._engine is not None else []
-        if easy:
-            ids = np.array(self._word_engine.encode_ordinary("".join([" " + words[k] for k in easy])), "<u4")
-            bounds = [*np.flatnonzero(self._spaced_pieces[ids]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for k, a, b in zip(easy, bounds, bounds[1:]):
-                out[k] = raw[4 * a : 4 * b]
-        return [self._encode_chunk(" " + words[k]) if x is None else x for k, x in enumerate(out)]
+        plain = pc.match_substring_regex(words, self._plain_word).to_numpy(zero_copy_only=False)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        chosen = words.filter(pa.array(plain))
+        own = pc.binary_length(chosen).to_numpy()
+        bare = np.frombuffer(b"".join(chosen.cast(pa.large_binary()).to_pylist()), np.uint8)
+        raw = np.full(len(bare) + len(own), 32, np.uint8)
+        raw[np.arange(len(bare)) + np.repeat(np.arange(1, len(own) + 1), own)] = bare
+        kind = self._kinds[raw]
+        cut = np.ones(len(raw), bool)
+        before, here = kind[:-1], kind[1:]
+        # a space goes with what follows it; of a run of line breaks the last stands alone
+        cut[1:] = (before != here) & (before != _SPACE) | ~self.inside[raw[:-1], raw[1:]]
+        cut[1:-1] |= (kind[:-2] == _BREAK) & (kind[1:-1] == _BREAK) & (kind[2:] != _BREAK)
+        at = np.flatnonzero(cut)
+        bounds = np.append(at, len(raw)).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        ids, counts = gather(self._fragments.many(found.dictionary.to_pylist(), self._merge_many), found.indices.to_numpy())
+        heads = np.flatnonzero(raw[at] == 32)  # the first fragment of each word
+        firsts = (np.cumsum(counts) - counts)[heads]
+        starts[plain], sizes[plain] = firsts, np.diff(np.append(firsts, len(ids)))
+        rest = [self._spaced[w] for w in words.filter(pa.array(~plain)).to_pylist()]
+        more = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        starts[~plain], sizes[~plain] = len(ids) + np.cumsum(more) - more, more
+        return np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")]), starts, sizes
+
+    def _merge_many(self, fragments: list[bytes]) -> list[bytes]:
+        """:meth:`_merge` of every fragment, in one call of the compiled loop where that can take them."""
+        out: list[bytes | None] = [None] * len(fragments)
+        if self._engine is not None:
+            good, shown = [], []
+            for k, f in enumerate(fragments):
+                if 1 < len(f) <= 64:
+                    try:
+                        shown.append(f.decode())
+                        good.append(k)
+                    except UnicodeDecodeError:  # a cut within a character
+                        pass
+            ids = np.array(self._engine.encode(_MARK.join(shown), allowed_special="all"), "<u4")
+            marks = np.flatnonzero(ids == self.size).tolist()
+            flat = ids.tobytes()
+            for k, a, b in zip(good, [-1, *marks], [*marks, len(ids)]):
+                out[k] = flat[4 * a + 4 : 4 * b]
+        return [self._merge(f) if x is None else x for f, x in zip(fragments, out)]
+
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self._words, self._spaced, self._fragments):
+            cache.clear()
+            cache.old = {}
 
     def encode_batch(self, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the bounds of each text in it.
@@ -277,14 +318,16 @@ class ForcedBoundaryBPE:
         codes = words.indices.to_numpy().astype(np.int64)
         starts = np.zeros(len(column) + 1, np.int64)
         np.cumsum(lists.value_lengths().fill_null(0).to_numpy(), out=starts[1:])
-        spaced = self._spaced.many(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_spaced)
-        n = len(spaced)
+        source, word_starts, word_sizes = self._encode_spaced(words.dictionary)
         # the first word of each text has no space before it: it gets a code of its own
         heads = [k for k in range(len(column)) if k not in alone]
         at = starts[:-1][heads]
-        spaced += [self._words[first] for first in words.dictionary.take(pa.array(codes[at])).to_pylist()]
-        codes[at] = n + np.arange(len(heads))
-        ids, word_sizes = gather(spaced, codes)
+        first = [self._words[w] for w in words.dictionary.take(pa.array(codes[at])).to_pylist()]
+        codes[at] = len(word_sizes) + np.arange(len(heads))
+        sizes = np.fromiter(map(len, first), np.int64, len(first)) // 4
+        word_starts = np.concatenate([word_starts, len(source) + np.cumsum(sizes) - sizes])
+        word_sizes = np.concatenate([word_sizes, sizes])[codes]
+        ids = spread(np.concatenate([source, np.frombuffer(b"".join(first), "<u4")]), word_starts[codes], word_sizes)
         ends = np.concatenate([[0], np.cumsum(word_sizes)])
         bounds = ends[starts]
         if alone:
@@ -388,19 +431,18 @@ class Bounded(dict):
         """The values of distinct keys; ``function`` makes all missing ones at once."""
         out = list(map(self.get, keys))
         absent = [k for k, v in enumerate(out) if v is None]
-        lost = []
-        for k in absent:
-            out[k] = self.old.get(keys[k])
-            if out[k] is None:
-                lost.append(k)
-        for k, value in zip(lost, function([keys[k] for k in lost])):
+        wanted = [keys[k] for k in absent]
+        values = list(map(self.old.get, wanted))
+        lost = [k for k, v in enumerate(values) if v is None]
+        for k, value in zip(lost, function([wanted[k] for k in lost])):
+            values[k] = value
+        for k, value in zip(absent, values):
             out[k] = value
-        for k in absent:
-            if len(keys[k]) <= self.longest:
-                if len(self) >= self.size:
-                    self.old = dict(self)
-                    self.clear()
-                self[keys[k]] = out[k]
+        for at in range(0, len(wanted), self.size):
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self.update((key, value) for key, value in zip(wanted[at : at + self.size], values[at : at + self.size]) if len(key) <= self.longest)
         return out
 
 
@@ -423,6 +465,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [ids[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds), pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        bpe.forget()
+        release_memory()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -454,6 +498,8 @@ def round_trip_digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 of_ids = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 of_text = [hashlib.sha256(x).hexdigest() for x in bpe.decode_batch(ids, bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
+        release_memory()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LONE_SURROGATE = re.compile("[\ud800-\udfff]")
@@ -64,6 +66,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system at the end of a task: an idle worker
+    stays for a while, beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # another C library
+        pass
+
+
 def texts(column) -> list[str]:
     """An Arrow string column as Python strings, null as the empty text."""
     return [t or "" for t in column.to_pylist()]
