@@ -3,6 +3,7 @@
 import hashlib
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -186,6 +187,42 @@ def test_language_model_counts_rare_words(spark):
         assert got[20] - got[10] == pytest.approx(np.log(3), abs=1e-6)
 
 
+def test_language_model_memory(spark):
+    """Scores by the formula, word by word; where a word is counted changes nothing."""
+    r = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words[k] for k in (r.random(int(r.integers(0, 200))) ** 3 * 3000).astype(int)) for _ in range(60)]
+    texts += [texts[3], texts[4], None, "One", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    counts = lm_score.word_counts(docs)
+    network = lm_score.train(docs, counts.words)
+    split = [(t or "").lower().split() for t in texts]
+    total = Counter(w for t in split for w in t)
+    assert dict(counts.carried) == dict(total)
+    bucket = lambda w: lm_score.word_hash(w) % lm_score.RARE
+    tokens = Counter()
+    for w, n in total.items():
+        tokens[bucket(w)] += n * (w not in counts.words)
+    hashes = [lm_score.hashed(t) for t in split]
+    pairs = [lm_score.neighbours(h, np.array([len(h)])) if len(h) else None for h in hashes]
+    places = [(d, k, int(pairs[d][0][k])) for d, t in enumerate(split) for k in range(1, len(t) - 1)]
+    seen, of_word = Counter(x for _, _, x in places), Counter((x, split[d][k]) for d, k, x in places)
+    vocabulary, expected = lm_score.Vocabulary(counts.words), []
+    for d, t in enumerate(split):
+        p = np.exp(network.log_probabilities(vocabulary.read([texts[d]])).astype(float)).tolist()
+        for k, w in enumerate(t):
+            p[k] *= 1 if w in counts.words else total[w] / tokens[bucket(w)]
+            x = int(pairs[d][0][k])
+            if 0 < k < len(t) - 1 and x % lm_score.EVERY == 0 and seen[x] > 1:
+                p[k] = (of_word[x, w] - 1 + lm_score.PRIOR * p[k]) / (seen[x] - 1 + lm_score.PRIOR)
+        expected.append(float(np.log(p).sum()) if t else 0.0)
+    for carried in (lm_score.CARRIED, 0):
+        own = lm_score.word_counts(docs, carried=carried)
+        assert len(own.carried) == (len(total) if carried else lm_score.WORDS)
+        got = {x.doc_id: x.log_likelihood for x in lm_score.score_documents(docs, own, network).collect()}
+        assert [got[k] for k in range(len(texts))] == pytest.approx(expected, rel=1e-5)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 16))

@@ -201,18 +201,48 @@ def test_language_model_learns():
     texts = [" ".join(words[(s + k) % 40] for k in range(60)) for s in r.choices(range(40), k=150)]
     vocabulary = lm_score.Vocabulary(words)
     network = lm_score.Network.fresh()
-    score = lambda t: network.log_probabilities(lm_score.windows(i := vocabulary.encode(t)), i).mean()
+    score = lambda t: network.log_probabilities(vocabulary.read([t])).mean()
     before = score(texts[0])
-    feed = lm_score._Feed(vocabulary, network)
     for _ in range(12):
-        for t in texts:
-            feed.add(t)
-    feed.flush()
+        assert network.learn(vocabulary.read(texts)) == 150 * 60
     shuffled = texts[0].split()
     r.shuffle(shuffled)
     assert score(texts[0]) > before + 1 and score(texts[0]) > score(" ".join(shuffled)) + 1
-    assert network.log_probabilities(lm_score.windows(np.zeros(0, np.int32)), np.zeros(0, np.int32)).shape == (0,)
+    together = network.log_probabilities(vocabulary.read([*texts, "", None]))
+    assert np.allclose(together, np.concatenate([network.log_probabilities(vocabulary.read([t])) for t in texts]), atol=1e-4)
+    assert network.log_probabilities(vocabulary.read([])).shape == (0,)
     flat = network.flat()
     assert (network.with_flat(flat).flat() == flat).all()
-    total = np.exp([network.log_probabilities(np.full((1, 6), lm_score.PAD), np.array([t]))[0] for t in range(lm_score.PAD)]).sum()
+    total = np.exp([network.log_probabilities(lm_score.laid(np.array([k]), np.array([1])))[0] for k in range(lm_score.PAD)]).sum()
     assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_language_model_gradient():
+    """Each gradient against finite differences of the summed loss."""
+    r = np.random.default_rng(2)
+    network = lm_score.Network.fresh()
+    flat = lm_score.laid(r.integers(0, lm_score.PAD, 60), np.array([25, 0, 35]))
+    before = {k: v.copy() for k, v in network.parts.items()}
+    loss = lambda: -network.log_probabilities(flat).sum(dtype=np.float64) / 60
+    seen = []
+    sums = network.sums
+    network.sums = {k: np.ones_like(v) for k, v in sums.items()}
+    network.learn(flat)
+    gradients = {k: np.sqrt(np.maximum(network.sums[k] - 1, 0)) for k in before}
+    for name, old in before.items():
+        at = np.unravel_index(int(gradients[name].argmax()), old.shape)
+        values = []
+        for step in (1e-2, -1e-2):
+            network.parts = {k: v.copy() for k, v in before.items()}
+            network.parts[name][at] += step
+            values.append(loss())
+        seen.append(abs(values[0] - values[1]) / 2e-2)
+        assert seen[-1] == pytest.approx(float(gradients[name][at]), rel=0.05), name
+
+
+def test_words_of_the_language_model():
+    words, codes, sizes = lm_score.tokenized([" A b\n a ", None, "", "B  c"])
+    assert [words[k] for k in codes] == ["a", "b", "a", "b", "c"] and sizes.tolist() == [3, 0, 0, 2]
+    hashes = lm_score.hashed(words)
+    pairs, inner = lm_score.neighbours(hashes[codes], sizes)
+    assert inner.tolist() == [False, True, False, False, False] and len(pairs) == 5

@@ -252,7 +252,7 @@ class ForcedBoundaryBPE:
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         chosen = words.filter(pa.array(plain))
         own = pc.binary_length(chosen).to_numpy()
-        bare = np.frombuffer(b"".join(chosen.cast(pa.large_binary()).to_pylist()), np.uint8)
+        bare = np.frombuffer(b"".join(chosen.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint8)
         raw = np.full(len(bare) + len(own), 32, np.uint8)
         raw[np.arange(len(bare)) + np.repeat(np.arange(1, len(own) + 1), own)] = bare
         kind = self._kinds[raw]
@@ -264,7 +264,7 @@ class ForcedBoundaryBPE:
         at = np.flatnonzero(cut)
         bounds = np.append(at, len(raw)).astype(np.int64)
         found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-        ids, counts = gather(self._fragments.many(found.dictionary.to_pylist(), self._merge_many), found.indices.to_numpy())
+        ids, counts = gather(self._fragments.many(found.dictionary.to_numpy(zero_copy_only=False).tolist(), self._merge_many), found.indices.to_numpy())
         heads = np.flatnonzero(raw[at] == 32)  # the first fragment of each word
         firsts = (np.cumsum(counts) - counts)[heads]
         starts[plain], sizes[plain] = firsts, np.diff(np.append(firsts, len(ids)))
