@@ -106,6 +106,21 @@ def test_decontamination(docs, empty, items):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1 and kept.filter("doc_id = 9").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items under five words, and of a script without spaces, as the SQL has them."""
+    import duckdb
+
+    texts = ["say the Magic word now", "magic words", None, "", "x 東京都は日本の首都 y", "東京都は日本の", "the magic", "a b c d e f g", "ZZ"]
+    items = ["the magic word", None, "東京都は日本の首", "首都", "zz", "a b c d e f", "a b c x", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.leak_report(docs, tests).collect()))
+    c = duckdb.connect()
+    documents, benchmark = docs.toPandas(), tests.toPandas()  # noqa: F841  read by name
+    assert got == sorted(c.sql(decontaminate.ORACLE_SQL).fetchall())
+    assert [g[:2] for g in got] == [(0, 0), (4, 2), (4, 3), (7, 5), (8, 4)]
+
+
 def test_near_duplicates(docs, empty):
     got = sorted(((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()), key=str)
     classes = {a: (b, n) for a, b, n in got}

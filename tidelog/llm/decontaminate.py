@@ -1,8 +1,10 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Texts are compared as sets of five-word shingles of lower-cased words (runs of
-letters and digits).  An item is found in a document if the document holds at
-least ``threshold`` of the item's distinct shingles.
+Texts are compared as sets of five-word shingles of lower-cased words: runs of
+letters and digits, and in scripts without spaces each character.  An item of
+under five words is one shingle of all its words; documents are probed with
+shingles of such a length too if some item has it.  An item is found in a
+document if the document holds at least ``threshold`` of its distinct shingles.
 
 Items are partitioned by shingle count, in powers of two.  Each partition has
 one sketch length: an item of n shingles may miss n - ceil(t n) of them, so its
@@ -15,7 +17,7 @@ makes the candidates.  Candidates are verified by the shingles themselves.
 Only DataFrame functions are used.
 
 Defined results
-    null, empty or short text   under five words: no shingles, never a pair
+    null or empty text          no words: no shingles, never a pair
     repeated rows               one row per (doc_id, item_id), the largest share
     null ids                    kept as null
     empty tables                an empty result
@@ -37,29 +39,55 @@ THRESHOLD = 0.8
 BROADCAST_ROWS = 500_000
 
 
+#: Scripts that set no spaces between words.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+
+
 def words(text: Column) -> Column:
     """The lower-cased words of a text."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    unspaced = "[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED) + "]"
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(lower.rlike(unspaced), F.regexp_replace(lower, f"({unspaced})", " $1 ")).otherwise(lower)
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
+
+
+def hashed_shingles(hashes: Column, width: int) -> Column:
+    """One hash for each run of ``width`` word hashes, in order."""
+    at = lambda i: [F.get(hashes, i + k) for k in range(width)]
+    runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: F.xxhash64(*at(i)))
+    return F.when(F.size(hashes) >= width, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def written_shingles(tokens: Column, width: int) -> Column:
+    """The shingles of ``width`` words as text."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(tokens, i, width), " "))
+    return F.when(F.size(tokens) >= width, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _of_item(shingles, words_of: Column) -> Column:
+    """The shingles of an item: of all its words, if it is short."""
+    out = shingles(words_of, WIDTH)
+    for width in range(1, WIDTH):
+        out = F.when(F.size(words_of) == width, shingles(words_of, width)).otherwise(out)
+    return out
 
 
-def hashed_shingles(hashes: Column) -> Column:
-    """One hash for each run of ``WIDTH`` word hashes, in order."""
-    at = lambda i: [F.get(hashes, i + k) for k in range(WIDTH)]
-    runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - WIDTH), lambda i: F.xxhash64(*at(i)))
-    return F.when(F.size(hashes) >= WIDTH, runs).otherwise(F.array().cast("array<bigint>"))
+def _of_document(shingles, words_of: Column, short: list[int]) -> Column:
+    """The shingles of a document that can be an item's."""
+    return F.concat(shingles(words_of, WIDTH), *[shingles(words_of, width) for width in short])
 
 
-def written_shingles(tokens: Column) -> Column:
-    """The distinct shingles as text."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (WIDTH - 1)), lambda i: F.array_join(F.slice(tokens, i, WIDTH), " "))
-    return F.array_distinct(F.when(F.size(tokens) >= WIDTH, runs).otherwise(F.array().cast("array<string>")))
+def short_widths(items: DataFrame) -> list[int]:
+    """The word counts under ``WIDTH`` that items have: a few numbers."""
+    counted = items.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WIDTH - 1)).distinct()
+    return sorted(r["n"] for r in counted.collect())
 
 
-def _hashes(df: DataFrame, keys: list[str]) -> DataFrame:
+def _hashes(df: DataFrame, keys: list[str], shingles) -> DataFrame:
     """(keys..., shingles): word hashes are a column of their own, so that each
     word is hashed once and not once for each shingle that it is in."""
     hashed = df.select(*keys, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.select(*keys, hashed_shingles(F.col("hashes")).alias("shingles"))
+    return hashed.select(*keys, shingles(F.col("hashes")).alias("shingles"))
 
 
 def sketch_length(n: Column, threshold: float) -> Column:
@@ -70,7 +98,7 @@ def sketch_length(n: Column, threshold: float) -> Column:
 
 def sketch_index(items: DataFrame, threshold: float) -> DataFrame:
     """(item_id, hash): the bottom sketch of every item."""
-    distinct = _hashes(items, ["item_id"]).select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles"))
+    distinct = _hashes(items, ["item_id"], lambda h: _of_item(hashed_shingles, h)).select("item_id", F.array_sort(F.array_distinct("shingles")).alias("shingles"))
     some = distinct.filter(F.size("shingles") > 0)
     kept = F.slice(F.col("shingles"), F.lit(1), sketch_length(F.size("shingles"), threshold))
     return some.select("item_id", _exploded(kept))
@@ -98,16 +126,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     keyed = _keyed(docs, id_col, text_col)
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     index = _sized(saved(sketch_index(tests, threshold), "sketches"))
-    probes = _hashes(keyed, ["doc_id", "text_key"]).select("doc_id", "text_key", _exploded(F.col("shingles")))
+    short = short_widths(tests)
+    probes = _hashes(keyed, ["doc_id", "text_key"], lambda h: _of_document(hashed_shingles, h, short)).select("doc_id", "text_key", _exploded(F.col("shingles")))
     pairs = saved(probes.join(index, "hash").select("doc_id", "text_key", "item_id").distinct(), "candidates")
 
     wanted = pairs.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "item_id")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     candidates = keyed.join(_sized(wanted), same).select("doc_id", "text_key", "item_id", words(F.col("text")).alias("tokens"))
     known = tests.select(F.col("item_id").alias("item"), words(F.col("text")).alias("item_tokens"))
-    known = known.select("item", written_shingles(F.col("item_tokens")).alias("item_shingles"))
+    known = known.select("item", F.array_distinct(_of_item(written_shingles, F.col("item_tokens"))).alias("item_shingles"))
     joined = candidates.join(_sized(known), F.col("item_id").eqNullSafe(F.col("item")))
-    shared = F.size(F.array_intersect(written_shingles(F.col("tokens")), F.col("item_shingles"))).cast("long")
+    shared = F.size(F.array_intersect(_of_document(written_shingles, F.col("tokens"), short), F.col("item_shingles"))).cast("long")
     counted = joined.select("doc_id", "text_key", "item_id", shared.alias("n_shared"), F.size("item_shingles").cast("long").alias("n_item"))
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))).withColumn(
         "containment", F.col("n_shared") / F.col("n_item")
@@ -136,10 +165,13 @@ def sketch_length_of(n: int, threshold: float = THRESHOLD) -> int:
 
 #: The pairs by exact containment over all shingles.
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, lower(coalesce(text, '')) AS text FROM documents UNION ALL SELECT 'b', item_id, lower(coalesce(text, '')) FROM benchmark),
+u AS (SELECT kind, id, regexp_replace(text, '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g') AS text FROM t),
+v AS (SELECT kind, id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM u),
+b AS (SELECT id AS item_id, w, least(5, len(w)) AS k FROM v WHERE kind = 'b' AND len(w) > 0),
+ks AS (SELECT 5 AS k UNION SELECT k FROM b),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT id AS doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM v, ks WHERE kind = 'd')),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+k-1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
 bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, CAST(n_shared AS DOUBLE) / CAST(n_item AS DOUBLE) AS containment
