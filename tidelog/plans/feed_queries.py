@@ -294,11 +294,12 @@ def q31_ddl_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.unblocked(order_log(spark, sf_dir).withColumn("table_id", F.col("pk") % 6), blocked, ["table_id"]).select("seq", "pk")
 
 
-@_query(_LOG + """, target AS (SELECT k AS pk, 'old' AS st FROM base WHERE k % 4 = 0), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY commit_ts DESC, seq DESC) AS rn FROM log WHERE pk % 3 = 0) WHERE rn = 1)
-SELECT pk, st FROM target WHERE pk NOT IN (SELECT pk FROM last) UNION ALL SELECT pk, a_st FROM last WHERE op <> 'delete'""")
+@_query(_LOG + """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY commit_ts DESC, seq DESC) AS rn FROM log WHERE op <> 'insert') WHERE rn = 1)
+SELECT k AS pk, st FROM base WHERE k NOT IN (SELECT pk FROM last) UNION ALL SELECT pk, a_st FROM last WHERE op <> 'delete'""")
 def q32_merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = _read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("pk"), F.lit("old").alias("st"))
-    changes = order_log(spark, sf_dir).filter("pk % 3 = 0").withColumn("st", F.col("a_st"))
+    """All orders as a snapshot, and all that the log changes in it."""
+    target = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), F.col("o_orderstatus").alias("st"))
+    changes = order_log(spark, sf_dir).filter("op <> 'insert'").withColumn("st", F.col("a_st"))
     return apply.merged_into(target, changes, ["pk"], ["commit_ts", "seq"], ["st"])
 
 
