@@ -39,15 +39,17 @@ THRESHOLD = 0.8
 BROADCAST_ROWS = 500_000
 
 
-#: Scripts that set no spaces between words.
+#: Scripts that set no spaces between words, and the first code point of any of them.
 UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+FIRST_UNSPACED = 0xE00
 
 
 def words(text: Column) -> Column:
     """The lower-cased words of a text."""
     unspaced = "[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED) + "]"
     lower = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(lower.rlike(unspaced), F.regexp_replace(lower, f"({unspaced})", " $1 ")).otherwise(lower)
+    some = lower.rlike(rf"[\x{{{FIRST_UNSPACED:x}}}-\x{{10ffff}}]")  # most texts need no replacing
+    apart = F.when(some, F.regexp_replace(lower, f"({unspaced})", " $1 ")).otherwise(lower)
     return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
 
 
