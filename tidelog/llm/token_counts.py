@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from .bpe import Bounded
 from .common import texts
 
+#: Distinct words, and distinct units, that a worker keeps at least.
+CACHE = 250_000
 MARK = "▁"
 #: Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
@@ -60,8 +62,8 @@ class UnigramCounter:
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         # a piece may hold the mark at its start, or be a run of marks
         self.cuttable = all(MARK not in p[1:] or not p.strip(MARK) for p in names) and all(float(s).is_integer() for _, s in pieces)
-        self._units = Bounded(self.count_unit)
-        self._words = Bounded(lambda word: self.count_unit(MARK + word))
+        self._units = Bounded(self.count_unit, CACHE)
+        self._words = Bounded(lambda word: self.count_unit(MARK + word), CACHE)
 
     def count_unit(self, text: str) -> int:
         """Pieces of a text whose spaces are marks already."""
