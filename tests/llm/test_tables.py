@@ -132,6 +132,20 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_word_frequencies(spark, empty, monkeypatch):
+    """Every word is counted once for each text; words below the share weigh as if they had it."""
+    texts = [f"Common {'half' if k % 2 else 'x'} own{k} common" for k in range(50)] + [None, "", " \n"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_dedup, "HELD", 7)
+    of = lambda n: np.float32(np.log(51 / (n + 1)) + 0.1)
+    words = near_dedup.word_hashes("common half x own3 unseen")
+    assert near_dedup.word_idf(table).of(words) == pytest.approx([of(n) for n in (50, 25, 25, 1, 1)])
+    few = near_dedup.word_idf(table, share=0.1)  # 150 counts in all, so 15 at least
+    assert len(few.hashes) == 3 and few.of(words) == pytest.approx([of(n) for n in (50, 25, 25, 15, 15)])
+    none = near_dedup.word_idf(empty)
+    assert len(none.hashes) == 0 and np.isfinite(none.of(words)).all()
+
+
 def test_near_duplicates_equal_brute_force(spark):
     """All links of a generated corpus, by exact weighted similarity of all pairs."""
     r = np.random.default_rng(8)

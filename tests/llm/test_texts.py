@@ -118,7 +118,8 @@ def test_sketch_lengths():
 
 def test_weighted_sampling_estimates_similarity():
     r = np.random.default_rng(1)
-    idf = r.uniform(1, 8, near_dedup.BUCKETS).astype(np.float32)
+    hashes = np.unique(near_dedup.word_hashes(" ".join(f"w{s}x{k}" for s in range(40) for k in range(300))))
+    idf = near_dedup.WordWeights(hashes, r.uniform(1, 8, len(hashes)).astype(np.float32), 8.0)
     pairs = []
     for s in range(40):
         words = [f"w{s}x{k}" for k in range(300)]

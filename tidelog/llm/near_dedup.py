@@ -2,9 +2,11 @@
 
 A document is the weighted set of its five-word shingles (lower-cased words
 between white space; under five words, one shingle of all).  A shingle weighs its
-count times its inverse document frequency, which is the mean over its words;
-word frequencies are counted over all documents in a fixed number of hash
-buckets, so the table is as large for any corpus.
+count times its inverse document frequency, which is the mean over its words.
+Every word is counted over all documents, in a shuffle.  Words with less than
+``RARE_SHARE`` of all counts weigh alike, as if they had just that share: so the
+table of the others has at most 1 / ``RARE_SHARE`` words, whatever the corpus, and
+a word's weight depends on its share alone.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
 document, each equal for two documents with the probability of their weighted
@@ -35,6 +37,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,11 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: At similarity 0.8 a pair shares no bucket with a chance of 4.9e-5.
 BANDS, ROWS = 25, 5
-#: Buckets of word document frequencies.
+#: Words with a lower share of the counts of all words weigh alike.
+RARE_SHARE = 1e-6
+#: Hashes of words that a task holds before it counts and sends them.
+HELD = 2_000_000
+#: Buckets of shingle frequencies; they only decide the order of shingles in a prefix.
 BUCKETS = 1 << 18
 #: A hot centre's members are dealt to this many tasks.
 SALT = 16
@@ -101,13 +108,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def weighted_shingles(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class WordWeights:
+    """Inverse document frequencies of words by their sorted hashes, and that of all other words."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    other: float
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(words), self.other)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.values[at], self.other)
+
+
+def weighted_shingles(text: str, idf: WordWeights) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes and their weights; none for a blank text."""
     words = word_hashes(text)
     n = len(words)
     if not n:
         return words, np.zeros(0)
-    of_word = idf[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    of_word = idf.of(words)
     width = min(WIDTH, n)
     runs = np.full(n - width + 1, width, np.uint64)
     weight = np.zeros(n - width + 1)
@@ -211,10 +233,42 @@ def bucket_counts(docs: DataFrame, found, text_col: str = "text") -> tuple[np.nd
     return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(BUCKETS), rows
 
 
-def word_idf(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Inverse document frequency of each word bucket, over all documents."""
-    table, rows = bucket_counts(docs, word_hashes, text_col)
-    return (np.log((rows + 1) / (table + 1.0)) + 0.1).astype(np.float32)
+def word_idf(docs: DataFrame, text_col: str = "text", share: float = RARE_SHARE) -> WordWeights:
+    """Inverse document frequencies, by counts of every word over all documents.
+
+    Tasks count before the shuffle.  What reaches the driver are the words with at
+    least ``share`` of the sum of all counts, so at most 1 / ``share`` of them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            for t in texts(batch.column(0)):
+                own = np.unique(word_hashes(t))  # once for each word, however often it occurs
+                held.append(own)
+                size += len(own)
+                rows += len(own) > 0
+            if size >= HELD:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+        if rows:  # the number of texts stands without a word
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["word", "n"])
+
+    counted = saved(docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    named = F.col("word").isNotNull()
+    total, rows = counted.agg(F.sum(F.when(named, F.col("n"))), F.sum(F.when(~named, F.col("n")))).first()
+    least = max(1.0, share * (total or 0))
+    found = counted.filter(named & (F.col("n") >= least)).toArrow()
+    hashes, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    idf = lambda n: np.log(((rows or 0) + 1) / (n + 1.0)) + 0.1
+    return WordWeights(hashes[order], idf(n[order]).astype(np.float32), float(idf(least)))
 
 
 def vertices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +278,7 @@ def vertices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), text.alias("text"))
 
 
-def sketches(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+def sketches(rows: DataFrame, idf: WordWeights) -> DataFrame:
     """(node, keys) of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +302,7 @@ def one_text_each(rows: DataFrame, needed: DataFrame) -> DataFrame:
     return saved(rows.join(F.broadcast(firsts) if few else firsts, same, "left_semi").select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, idf: WordWeights, threshold: float) -> DataFrame:
     """Those of ``pairs`` (u, v) whose similarity reaches ``threshold``.
 
     The text of v comes once for all its partners in a task, ahead of them; each
@@ -277,7 +331,7 @@ def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: floa
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
-def near_classes(rows: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def near_classes(rows: DataFrame, idf: WordWeights, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every text that verified links connect with another."""
     entries = saved(sketches(rows, idf), "sketches").select(F.explode("keys").alias("key"), "node")
     order = F.struct(F.xxhash64("node", "key"), F.col("node"))
@@ -303,7 +357,7 @@ def near_classes(rows: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD)
     return roots
 
 
-def prefixes(named: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def prefixes(named: DataFrame, idf: WordWeights, threshold: float) -> DataFrame:
     """(shingle, node, size, rest) for each shingle in the prefix of each text.
 
     Shingles are ordered by how many of these texts hold their hash bucket, then by
