@@ -274,8 +274,11 @@ def word_idf(docs: DataFrame, text_col: str = "text", share: float = RARE_SHARE)
 def vertices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, text); equal texts have equal nodes, blank ones a null node."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    node = F.when(text.rlike(r"[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]"), F.unhex(F.md5(text)))
-    return docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), _node(text).alias("node"), text.alias("text"))
+
+
+def _node(text: Column) -> Column:
+    return F.when(text.rlike(r"[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]"), F.unhex(F.md5(text)))
 
 
 def sketches(rows: DataFrame, idf: WordWeights) -> DataFrame:
@@ -283,33 +286,45 @@ def sketches(rows: DataFrame, idf: WordWeights) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             keys = [bucket_keys(samples(*weighted_shingles(t, idf))) for t in texts(batch.column(1))]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
 
-    named = rows.filter(F.col("node").isNotNull()).select("node", "text")
-    return named.mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
+    # blank texts, whose node is null, go on the other side: here the test would hash each text again
+    return rows.select("node", "text").mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
+
+
+def _sized(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """``nodes``, to be sent to every executor if their number allows, and whether it does."""
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(nodes) if few else nodes), few
 
 
-def one_text_each(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, text) of each ``node`` of ``needed``, whose nodes are distinct."""
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def one_text_each(rows: DataFrame, ids: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text) of each ``node`` of ``needed``, whose nodes are distinct.
+
+    ``ids`` has the (doc_id, node) of all ``rows``.
+    """
+    needed, few = _sized(needed)
     # Of a text with many copies one row is read: the copies are told apart by id first.
-    firsts = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(F.broadcast(needed) if few else needed, "node", "left_semi")
-    firsts = saved(firsts, "first-rows").select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
-    same = (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    return saved(rows.join(F.broadcast(firsts) if few else firsts, same, "left_semi").select("node", "text").dropDuplicates(["node"]), "pair-texts")
+    firsts = saved(ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi"), "first-rows")
+    firsts = firsts.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("d"))
+    if few:  # only texts with a wanted id are hashed
+        rows = rows.select("doc_id", "text").join(F.broadcast(firsts.select("d").distinct()), same_id, "left_semi").withColumn("node", _node(F.col("text")))
+        firsts = F.broadcast(firsts)
+    return saved(rows.join(firsts, (F.col("node") == F.col("n")) & same_id, "left_semi").select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, idf: WordWeights, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, content: DataFrame, idf: WordWeights, threshold: float) -> DataFrame:
     """Those of ``pairs`` (u, v) whose similarity reaches ``threshold``.
 
-    The text of v comes once for all its partners in a task, ahead of them; each
-    partner's text is compared with it as it streams by.  A v with very many
-    partners is dealt to ``SALT`` tasks.
+    ``content`` has the (node, text) of both.  The text of v comes once for all its
+    partners in a task, ahead of them; each partner's text is compared with it as
+    it streams by.  A v with very many partners is dealt to ``SALT`` tasks.
     """
-    content = one_text_each(rows, pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
     salted = pairs.withColumn("salt", F.pmod(F.hash("u"), F.lit(SALT)))
     leads = salted.select("v", "salt").distinct().join(content, F.col("v") == F.col("node")).select("v", "salt", F.lit(None).cast("binary").alias("u"), "text")
     members = salted.join(content, F.col("u") == F.col("node")).select("v", "salt", "u", "text")
@@ -331,28 +346,37 @@ def verified(pairs: DataFrame, rows: DataFrame, idf: WordWeights, threshold: flo
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
-def near_classes(rows: DataFrame, idf: WordWeights, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of every text that verified links connect with another."""
+def near_classes(rows: DataFrame, ids: DataFrame, idf: WordWeights, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of every text that verified links connect with another.
+
+    ``ids`` has the (doc_id, node) of all ``rows``.  The texts of bucket members are
+    read once; all later steps take theirs from there.
+    """
     entries = saved(sketches(rows, idf), "sketches").select(F.explode("keys").alias("key"), "node")
     order = F.struct(F.xxhash64("node", "key"), F.col("node"))
     # every bucket of two or more, with the centre that all its members meet
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("least")).filter("n > 1").select("key", F.col("least.node").alias("centre"))
     held = saved(entries.join(shared, "key"), "buckets")
     stars = saved(held.filter("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "stars-tried")
-    links = saved(verified(stars, rows, idf, threshold), "star-links")
+    content = one_text_each(rows, ids, held.select("node").distinct())
+    links = saved(verified(stars, content, idf, threshold), "star-links")
 
     # members of one bucket that are still apart
     roots = components(links)
     placed = held.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
     apart = saved(placed.join(apart_keys, "key", "left_semi").select("node").distinct(), "apart")
-    entries = saved(prefixes(one_text_each(rows, apart), idf, threshold), "prefixes")
+    content = saved(content.join(_sized(apart)[0], "node", "left_semi"), "apart-texts")
+    entries = saved(prefixes(content, idf, threshold), "prefixes")
+    several = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    entries = saved(entries.join(several, "shingle", "left_semi"), "shared-prefixes")
     tried = stars
     for together in (_with_lightest, _in_pairs):
         rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = saved(together(rooted, threshold).join(tried, ["u", "v"], "left_anti"), "pairs-tried")
         if pairs.limit(1).count():
-            roots = extended(roots, saved(verified(pairs, rows, idf, threshold), "pair-links"))
+            nodes, _ = _sized(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
+            roots = extended(roots, saved(verified(pairs, content.join(nodes, "node", "left_semi"), idf, threshold), "pair-links"))
             tried = tried.unionAll(pairs)
     return roots
 
@@ -428,8 +452,8 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     """
     rows = vertices(docs, id_col, text_col)
     idf = word_idf(docs, text_col)
-    roots = near_classes(rows, idf, threshold)
-    ids = rows.select("doc_id", "node")
+    ids = saved(rows.select("doc_id", "node"), "nodes")
+    roots = near_classes(rows, ids, idf, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     distinct = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
