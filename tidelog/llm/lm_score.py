@@ -13,16 +13,19 @@ every word over all documents.  So each token has a probability of its own, and
 the probabilities of all words of the corpus sum to 1.
 
 A network of fixed size cannot hold a corpus of any size, so it has a memory
-that grows with the corpus: between one in ``EVERY`` pairs of words, chosen by
-their hash, all words seen there are counted over all documents.  There the
-probability is (n - 1 + PRIOR * p) / (m - 1 + PRIOR), where p is the network's,
-n of the m tokens seen between this pair are this word, and the token itself is
-left out of both.  So passages that occur elsewhere too score higher, and what
-occurs once gets nothing from itself.
+that grows with the corpus: between every pair of words, all words seen there
+are counted over all documents.  There the probability is
+(n - 1 + PRIOR * p) / (m - 1 + PRIOR), where p is the network's, n of the m
+tokens seen between this pair are this word, and the token itself is left out of
+both.  So passages that occur elsewhere too score higher, and what occurs once
+gets nothing from itself.  Only the first and the last token of a text, which
+stand between no pair, have the network's probability.
 
 Counts of the most frequent words travel with the tasks; all others are counted
 by 64-bit hash in a shuffle, as are the pairs; only what has an equal hash would
-be counted as one.
+be counted as one.  Tokens travel to their pair in compressed arrays, a word of
+the most frequent as its rank; a task keeps arrays of its tokens in a temporary
+file and in memory only the counts.
 
 Training sees every document: after a warm start on ``WARM_DOCS`` documents,
 each task continues from the same weights over all its rows, and the changes
@@ -38,6 +41,7 @@ Defined results
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,10 +50,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import grouped
 from .common import release_memory, saved
+from .near_dedup import mixed
 
 CLASSES, WITHIN = 48, 32
 RARE = 64
@@ -63,8 +69,10 @@ STEP, BLOCK_TOKENS = 8192, 16384
 RATE = 0.08
 #: The warm start: whole texts of up to so many code points, and passes over them.
 WARM_DOCS, WARM_CHARS, WARM_PASSES = 400, 20_000, 2
-#: One pair of neighbours in so many is remembered; so many tokens the network's prediction counts there.
-EVERY, PRIOR = 8, 2.0
+#: One pair of neighbours in so many is remembered: each; so many tokens the network's prediction counts there.
+EVERY, PRIOR = 1, 2.0
+#: Tokens that a task deals to their pairs at once, and that one task counts; they decide no score.
+CHUNK, MEET = 1_000_000, 2_000_000
 #: Words whose counts travel with a task; it decides where a word is counted, not its score.
 CARRIED = 150_000
 #: Weights travel in blocks of this many.
@@ -128,15 +136,16 @@ class Vocabulary:
 
 @dataclass
 class Counts:
-    """The network's words, the counts that travel, the tokens of each bucket, and the table of all counts."""
+    """The network's words, the counts that travel, and the tokens of each bucket."""
 
     words: list[str]
     carried: dict[str, int]
     buckets: list[int]
-    table: DataFrame
 
-    def without_table(self) -> Counts:
-        return Counts(self.words, self.carried, self.buckets, None)
+    def tokens(self) -> tuple[int, int]:
+        """How many tokens there are, and how many of them are of words whose counts do not travel."""
+        every = sum(self.buckets) + sum(self.carried[w] for w in self.words)
+        return every, every - sum(self.carried.values())
 
     def shares(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logs of rare words' shares of their buckets, and which lack their count; those have the rest of it."""
@@ -186,7 +195,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", carried: int = CARRIED)
         buckets[r["bucket"]] = r["n"]
     for w in words:  # the network predicts these itself
         buckets[word_hash(w) % RARE] -= known[w]
-    return Counts(words, known, buckets, named)
+    return Counts(words, known, buckets)
 
 
 @dataclass
@@ -345,83 +354,255 @@ def train(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: s
 
 
 def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of the counted documents."""
-    network, bare = Network(network.parts, {}), counts.without_table()
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row of the counted documents.
+
+    Rows are numbered as they are read, which tables give in the same order each time.
+    """
+    network = Network(network.parts, {})
+    known = hashed(list(counts.carried))
+    tokens, uncounted = counts.tokens()
+    tasks, word_tasks = tokens // MEET + 1, uncounted // MEET + 1
+    parts, word_parts = 4 * tasks + 12, 4 * word_tasks + 12
+    kind = dict(docs.dtypes)[id_col]
+    names = ["part", "chunk", "tokens", "words", "gains", "row", "doc_id", "n_tokens", "sum"]
+    schema = f"part int, chunk long, tokens binary, words binary, gains binary, row long, doc_id {kind}, n_tokens long, sum double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(bare.words)
-        row = TaskContext.get().partitionId() << 40
+        vocabulary, ranks = Vocabulary(counts.words), {w: k for k, w in enumerate(counts.carried)}
+        chunk, held, rows, size = TaskContext.get().partitionId() << 16, [], 0, 0
         for batch in grouped(batches):
             words, codes, sizes = tokenized(batch.column(1))
             hashes = hashed(words)
             ids = vocabulary.ids(words, hashes)
-            logs, lacking = bare.shares(words, ids)
+            logs, lacking = counts.shares(words, ids)
             own = network.log_probabilities(laid(ids[codes], sizes)).astype(np.float64) + logs[codes]
             ends = np.cumsum(sizes)
             sums = np.zeros(len(sizes))
             sums[sizes > 0] = np.add.reduceat(own, (ends - sizes)[sizes > 0]) if len(own) else 0
+            rank = np.where(lacking, -1, np.fromiter((ranks.get(w, -1) for w in words), np.int32, len(words))).astype(np.int32)
+            pairs, inner = neighbours(hashes[codes], sizes)
+            held.append((hashes[codes], rank[codes], own.astype(np.float32), np.repeat(np.arange(rows, rows + len(sizes), dtype=np.int32), sizes), pairs, inner))
+            of_row = [pa.array(np.arange(rows, rows + len(sizes)) % parts, pa.int32()), pa.array((chunk << 24) + np.arange(rows, rows + len(sizes)), pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+            yield _filled(schema_of, dict(zip(["part", "row", "doc_id", "n_tokens", "sum"], of_row)))
+            rows, size = rows + len(sizes), size + len(codes)
+            if max(rows, size) >= CHUNK:
+                yield from dealt(chunk, held)
+                chunk, held, rows, size = chunk + 1, [], 0, 0
+        if held:
+            yield from dealt(chunk, held)
+        release_memory()
 
-            def listed(chosen: np.ndarray, values: pa.Array) -> pa.Array:
-                """The values of the chosen tokens, in a list for each text."""
-                before = np.concatenate([[0], np.cumsum(chosen)])
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], before[ends]]), pa.int32()), values)
-
-            of_token, unknown = hashes[codes], lacking[codes]
-            pairs, inner = neighbours(of_token, sizes)
-            remembered = inner & (pairs % np.uint64(EVERY) == 0)
-            memory = pa.StructArray.from_arrays(
-                [pa.array(pairs[remembered].view(np.int64)), pa.array(of_token[remembered].view(np.int64)), pa.array(own[remembered]), pa.array(unknown[remembered])],
-                ["pair", "word", "log_p", "lacking"],
-            )
-            rows = pa.array(range(row, row + len(sizes)), pa.int64())
-            row += len(sizes)
-            uncounted = listed(unknown, pa.array(of_token[unknown].view(np.int64)))
-            columns = [rows, batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), uncounted, listed(remembered, memory)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "sum", "uncounted", "memory"])
+    def dealt(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The tokens of a chunk, in one array for each part of the pairs; those between no pair, by their word."""
+        of_token, rank, own, row, pairs, inner = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        at = np.flatnonzero(inner & (pairs % np.uint64(EVERY) == 0))
+        at, ends = _by_part(pairs[at], parts, at)
+        blobs = []
+        for lo, hi in zip(ends, ends[1:]):
+            places = at[lo:hi]
+            codes = [rank[places + k] for k in (-1, 0, 1)]
+            others = [of_token[places + k][c < 0] for k, c in zip((-1, 0, 1), codes)]
+            blobs.append(packed(*codes, *others, own[places], np.diff(row[places], prepend=np.int32(0))))
+        full = [k for k in range(parts) if ends[k] < ends[k + 1]]
+        yield _filled(schema_of, {"part": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "tokens": pa.array([blobs[k] for k in full], pa.binary())})
+        at = np.flatnonzero(~inner & (rank < 0))
+        one = np.ones(len(at), np.int32)
+        yield _filled(schema_of, _of_words(of_token[at], own[at], one, one, (chunk << 24) + row[at].astype(np.int64), word_parts))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts each pair, and each word in it; adds up what the memory adds to each row."""
+        of_pair, of_both, chunks = Tally(), Tally(), []
+        with tempfile.SpooledTemporaryFile(max_size=32 << 20) as kept:
+            for batch in batches:
+                here = batch.column(2).is_valid()
+                rest = batch.filter(pc.invert(here))
+                if len(rest):
+                    yield rest
+                mine = batch.filter(here)
+                for chunk, blob in zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()):
+                    pairs, both, *_ = met(blob)
+                    of_pair.add(pairs)
+                    of_both.add(both)
+                    chunks.append((chunk, len(blob)))
+                    kept.write(blob)
+            kept.seek(0)
+            later, waiting = [], 0
+            for chunk, size in chunks:
+                pairs, both, word, rank, own, row = met(kept.read(size))
+                order = np.argsort(both)  # nearly that of the pairs too
+                m, n = of_pair.of(pairs[order]), of_both.of(both[order])
+                wanted = rank[order] >= 0
+                several = wanted & (m > 1)
+                chosen = order[several]
+                yield _filled(schema_of, {"chunk": pa.array([chunk], pa.int64()), "gains": pa.array([_of_rows(row[chosen], gain(own[chosen], n[several], m[several]))], pa.binary())})
+                chosen = order[~wanted]
+                later.append((word[chosen], own[chosen], n[~wanted].astype(np.int32), m[~wanted].astype(np.int32), (chunk << 24) + row[chosen].astype(np.int64)))
+                waiting += len(chosen)
+                if waiting >= CHUNK:
+                    yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_parts))
+                    later, waiting = [], 0
+            if later:
+                yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_parts))
         release_memory()
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"row long, doc_id {kind}, n_tokens long, sum double, uncounted array<long>, memory array<struct<pair: long, word: long, log_p: double, lacking: boolean>>"
-    # written once, so that a row's number holds
-    scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema), "lm-scores")
-    # all tokens of an uncounted word are here, so their number is its count
-    words = scored.select("row", F.explode("uncounted").alias("word")).withColumn("n", F.count("*").over(Window.partitionBy("word")))
-    gains = words.select("row", F.log("n").alias("gain")).unionAll(memory_gains(scored, counts.table))
-    full = scored.select("row", "doc_id", "n_tokens", "sum").join(gains.groupBy("row").agg(F.sum("gain").alias("gain")), "row", "left")
+    def met(blob: bytes) -> tuple[np.ndarray, ...]:
+        """Of each token: its pair, its pair and word, its word, its rank, its log probability, and its row in the chunk."""
+        left, rank, right, *others, own, row = unpacked(blob, [np.int32] * 3 + [np.uint64] * 3 + [np.float32, np.int32])
+        words = []
+        for codes, other in zip((left, rank, right), others):
+            found = known[codes] if len(known) else np.zeros(len(codes), np.uint64)
+            found[codes < 0] = other
+            words.append(found)
+        pairs = pair_hash(words[0], words[2])
+        # sorts nearly as the pairs do
+        return pairs, pairs + (mixed(words[1]) >> np.uint64(16)), words[1], rank, own, np.cumsum(row, dtype=np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts words, all of whose tokens are here."""
+        held = [unpacked(b, _WORD_KINDS) for batch in batches for b in batch.column(0).to_pylist()]
+        if held:
+            word, own, n, m, row = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _, place, tokens = np.unique(word, return_inverse=True, return_counts=True)
+            more = np.log(tokens)[place]
+            more += gain(own + more, n, m)
+            chunk = row >> 24
+            order = np.argsort(row)
+            ends = [*np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist(), len(order)]
+            for lo, hi in zip(ends, ends[1:]):
+                here = order[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[here[0]])], pa.int64()), pa.array([_of_rows((row[here] & 0xFFFFFF).astype(np.int32), more[here])], pa.binary())], ["chunk", "gains"])
+        release_memory()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, more = unpacked(blob, [np.int32, np.float32])
+                if len(rows):
+                    rows = np.cumsum(rows)
+                    own = sums.get(chunk, np.zeros(0))
+                    if len(own) <= rows[-1]:
+                        own = np.concatenate([own, np.zeros(int(rows[-1]) + 1 - len(own))])
+                    own[rows] += more
+                    sums[chunk] = own
+        for chunk, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array((chunk << 24) + np.arange(len(own)), pa.int64()), pa.array(own)], ["row", "gain"])
+
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.float64()]
+    schema_of = pa.schema(list(zip(names, types)))
+    scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema).repartition(tasks, "part").mapInArrow(meet, schema), "lm-scores")
+    words = scored.filter("words is not null").select("part", "words").repartition(word_tasks, "part").select("words")
+    gains = scored.filter("gains is not null").select("chunk", "gains").unionAll(words.mapInArrow(count, "chunk long, gains binary"))
+    gains = gains.repartition("chunk").mapInArrow(add, "row long, gain double")
+    full = scored.filter("row is not null").select("row", "doc_id", "n_tokens", "sum").join(gains, "row", "left")
     full = full.withColumn("log_likelihood", F.col("sum") + F.coalesce("gain", F.lit(0.0)))
     return full.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
+#: Arrays of tokens on their way to their word: it, the log probability, n and m of the pair, and the row.
+_WORD_KINDS = [np.uint64, np.float32, np.int32, np.int32, np.int64]
+
+
+def gain(log_p: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the memory adds to log probabilities; nothing, where a pair was seen once."""
+    log_p = log_p.astype(np.float64)
+    return np.where(m > 1, np.log(n - 1 + PRIOR * np.exp(log_p)) - np.log(m - 1 + PRIOR) - log_p, 0.0)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one, compressed; bytes of equal places stand side by side."""
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return np.array([len(body), *map(len, arrays)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
+    """The arrays of :func:`packed`, whose kinds these are."""
+    size, *lengths = np.frombuffer(blob, np.int64, 1 + len(kinds)).tolist()
+    body, at, out = pa.decompress(memoryview(blob)[8 * (1 + len(kinds)) :], size, codec="zstd", asbytes=True), 0, []
+    for n, kind in zip(lengths, kinds):
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def _by_part(hashes: np.ndarray, parts: int, values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Values by the part of their hashes, in their order, and the ends of the parts."""
+    part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    return values[order], [0, *np.cumsum(np.bincount(part, minlength=parts)).tolist()]
+
+
+def _of_words(word: np.ndarray, own: np.ndarray, n: np.ndarray, m: np.ndarray, row: np.ndarray, parts: int) -> dict[str, pa.Array]:
+    order, ends = _by_part(word, parts, np.arange(len(word)))
+    full = [k for k in range(parts) if ends[k] < ends[k + 1]]
+    blobs = [packed(*(x[order[ends[k] : ends[k + 1]]] for x in (word, own, n, m, row))) for k in full]
+    return {"part": pa.array(full, pa.int32()), "words": pa.array(blobs, pa.binary())}
+
+
+def _of_rows(row: np.ndarray, more: np.ndarray) -> bytes:
+    """The sums of ``more`` of each row that is there."""
+    if not len(row):
+        return packed(row, more.astype(np.float32))
+    sums, there = np.bincount(row, more), np.flatnonzero(np.bincount(row))
+    return packed(np.diff(there, prepend=0).astype(np.int32), sums[there].astype(np.float32))
+
+
+def _filled(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of these columns; all others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+class Tally:
+    """How often each key was added; equal keys take place once."""
+
+    def __init__(self):
+        self.keys, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.size += len(keys)
+        if self.size >= 2 * MEET:
+            self._sum()
+
+    def _sum(self) -> None:
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.size = [], 0
+        if len(self.keys):
+            keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[firsts], np.add.reduceat(counts, firsts)
+        self.keys, self.counts = keys, counts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if self.waiting:
+            self._sum()
+        return self.counts[np.searchsorted(self.keys, keys)]
+
+
+def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of the words on both sides."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + right
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def neighbours(of_token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the words on both sides of each token, and which tokens have both."""
     pairs = np.zeros(len(of_token), np.uint64)
-    left, right = of_token[:-2], of_token[2:]
-    mixed = left * np.uint64(0x9E3779B97F4A7C15) + right
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    pairs[1:-1] = mixed ^ (mixed >> np.uint64(29))
+    pairs[1:-1] = pair_hash(of_token[:-2], of_token[2:])
     inner = np.ones(len(of_token), bool)
     ends = np.cumsum(sizes)[sizes > 0]
     inner[ends - sizes[sizes > 0]] = inner[ends - 1] = False
     return pairs, inner
 
 
-def memory_gains(scored: DataFrame, table: DataFrame) -> DataFrame:
-    """(row, gain): what the memory adds to the log probability of each remembered token.
-
-    Counts are summed in the tasks before they are shuffled; pairs seen once add nothing.
-    """
-    each = scored.select("row", F.explode("memory").alias("one")).select("row", "one.*")
-    by_word = each.groupBy("pair", "word").agg(F.count("*").alias("n"))
-    by_word = saved(by_word, "lm-pairs")
-    seen = by_word.join(by_word.groupBy("pair").agg(F.sum("n").alias("m")).filter("m > 1"), "pair")
-    met = each.join(seen, ["pair", "word"])
-    codes = table.select(F.xxhash64("word").alias("word"), F.col("n").alias("tokens"))
-    met = met.filter("not lacking").unionAll(met.filter("lacking").join(codes, "word").withColumn("log_p", F.col("log_p") + F.log("tokens")).select(met.columns))
-    p = F.exp("log_p")
-    gain = F.log(F.col("n") - 1 + p * PRIOR) - F.log(F.col("m") - 1 + F.lit(PRIOR)) - F.col("log_p")
-    return met.select("row", gain.alias("gain"))
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: int = CARRIED) -> DataFrame:
     """Trains on ``docs`` and scores them."""
     counts = word_counts(docs, text_col, carried)
