@@ -196,6 +196,32 @@ def test_pages_table(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """However many labels there are, and wherever they meet, the fit is that of all rows at hand."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice(["a", "Bc", "d1", "ef.", "#", "ghi"], int(r.integers(1, 30)))) for _ in range(9500)]
+    labels = [int(r.random() < (0.9 if t.count("#") < len(t) / 20 else 0.6)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    table = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int").cache()
+    used = [k for k in range(len(texts)) if not quality.held_out(k)]
+    x, y = np.array([quality.features(texts[k]) for k in used]), np.array([labels[k] for k in used])
+    assert y.sum() > 4000
+    share = 1 - y.mean()
+    seen = []
+    for few, large, turns, most in ((quality.FEW, quality.LARGE, quality.TURNS, quality.SORTED), (quality.FEW, 900, 1, 10), (10, 1, 300, 50)):
+        for name, value in (("FEW", few), ("LARGE", large), ("TURNS", turns), ("SORTED", most)):
+            monkeypatch.setattr(quality, name, value)
+        model = quality.train(docs, table)
+        assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-6)  # of all rows
+        strength = quality.shaped(x, model.mean, model.scale) @ model.weights
+        assert model.spread == pytest.approx(strength.std() / 4)
+        assert model.cut == pytest.approx(quality.crossing(strength, y, (1 / len(y), 1 / len(y)), 0.0, share, None))
+        assert (strength < model.cut).mean() == pytest.approx(share, abs=0.02)
+        seen.append(model.score(x))
+    here = quality.fit(x, y, share).score(x)
+    assert min(np.corrcoef(here, s)[0, 1] for s in seen) > 0.995
+
+
 def test_language_model_table(docs, empty):
     got = lm_score.lm_scores(docs).collect()
     assert len(got) == len(TEXTS) + 1
