@@ -281,17 +281,19 @@ def test_language_model_memory(spark):
 def test_language_model_remembers_every_pair(spark, monkeypatch):
     """Between every pair of words, not some by hash; where tasks and chunks end changes nothing."""
     passage = [f"p{k}" for k in range(50)]
-    texts = [" ".join(passage), "x " + " ".join(passage), "y z"]
+    texts = [" ".join(passage), "x " + " ".join(passage), "y z", "a b c b " * 40]  # the last has pairs of more tokens than a task counts at once
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
     counts = lm_score.word_counts(docs)
     network = lm_score.train(docs, counts.words)
     p = np.exp(network.log_probabilities(lm_score.Vocabulary(counts.words).read([texts[0]])).astype(float))
     p[1:-1] = (1 + lm_score.PRIOR * p[1:-1]) / (1 + lm_score.PRIOR)  # seen twice, both times this word
+    seen = []
     for chunk in (lm_score.CHUNK, 10):
         monkeypatch.setattr(lm_score, "CHUNK", chunk)
         monkeypatch.setattr(lm_score, "MEET", chunk)
-        got = {r.doc_id: r.log_likelihood for r in lm_score.score_documents(docs, counts, network).collect()}
-        assert got[0] == pytest.approx(np.log(p).sum(), rel=1e-5)
+        seen.append({r.doc_id: r.log_likelihood for r in lm_score.score_documents(docs, counts, network).collect()})
+        assert seen[-1][0] == pytest.approx(np.log(p).sum(), rel=1e-5)
+    assert seen[0] == pytest.approx(seen[1], rel=1e-6)
 
 
 def test_neighbours(spark):

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import grouped
-from .common import release_memory, saved
+from .common import release_memory, remove, saved, scratch
 from .near_dedup import mixed
 
 CLASSES, WITHIN = 48, 32
@@ -72,7 +72,7 @@ WARM_DOCS, WARM_CHARS, WARM_PASSES = 400, 20_000, 2
 #: One pair of neighbours in so many is remembered: each; so many tokens the network's prediction counts there.
 EVERY, PRIOR = 1, 2.0
 #: Tokens that a task deals to their pairs at once, and that one task counts; they decide no score.
-CHUNK, MEET = 1_000_000, 2_000_000
+CHUNK, MEET = 1_000_000, 1_500_000
 #: Words whose counts travel with a task; it decides where a word is counted, not its score.
 CARRIED = 150_000
 #: Weights travel in blocks of this many.
@@ -175,7 +175,9 @@ def word_counts(docs: DataFrame, text_col: str = "text", carried: int = CARRIED)
         release_memory()
 
     counted = docs.select(text_col).mapInArrow(count, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
-    counted = saved(counted, "lm-counts")
+    path = scratch(docs.sparkSession, "lm-counts")
+    counted.write.parquet(path)
+    counted = docs.sparkSession.read.schema(counted.schema).parquet(path)
     named = counted.filter("word is not null").select("word", "n")
     # the least count that not more than ``carried`` words reach: a limit would send as many from every task
     least, reached = None, 0
@@ -193,6 +195,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", carried: int = CARRIED)
     buckets = [0] * RARE
     for r in counted.filter("word is null").collect():
         buckets[r["bucket"]] = r["n"]
+    remove(docs.sparkSession, path)
     for w in words:  # the network predicts these itself
         buckets[word_hash(w) % RARE] -= known[w]
     return Counts(words, known, buckets)
@@ -253,36 +256,44 @@ class Network:
         rows = np.arange(len(target))
         gradients = {k: np.zeros_like(p[k]) for k in ("classes", "class_shift", "tokens", "token_shift")} if learn else {}
 
-        def level(inputs: np.ndarray, weights: np.ndarray, shift: np.ndarray, chosen: np.ndarray, names: tuple, where) -> tuple:
-            logits = weights.T @ inputs
-            logits += shift[:, None]
+        def level(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            """The log probabilities of what is chosen; to learn, the logits become the loss's slopes."""
             logits -= logits.max(axis=0)
-            at = rows[: len(chosen)]
-            found = logits[chosen, at]
+            found = logits[chosen, rows]
             powers = np.exp(logits, out=logits)
             totals = powers.sum(axis=0)
             found -= np.log(totals)
-            if not learn:
-                return found, None
-            powers /= totals
-            powers[chosen, at] -= 1
-            gradients[names[0]][where], gradients[names[1]][where] = inputs @ powers.T, powers.sum(axis=1)
-            return found, weights @ powers
-
-        out, back = level(hidden, p["classes"], p["class_shift"], group, ("classes", "class_shift"), ...)
+            if learn:
+                powers /= totals
+                powers[chosen, rows] -= 1
+            return found
+
+        logits = p["classes"].T @ hidden
+        logits += p["class_shift"][:, None]
+        out = level(logits, group)
+        if learn:
+            gradients["classes"][...], gradients["class_shift"][...] = hidden @ logits.T, logits.sum(axis=1)
+            back = p["classes"] @ logits
         ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-        for c, (lo, hi) in enumerate(zip(ends, ends[1:])):
-            if lo < hi:
-                more, of_class = level(hidden[:, lo:hi], p["tokens"][c], p["token_shift"][c], within[lo:hi], ("tokens", "token_shift"), c)
-                out[lo:hi] += more
-                if learn:
-                    back[:, lo:hi] += of_class
+        parts = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
+        logits = np.empty((WITHIN, len(target)), np.float32)
+        for c, lo, hi in parts:
+            np.add(p["tokens"][c].T @ hidden[:, lo:hi], p["token_shift"][c][:, None], out=logits[:, lo:hi])
+        out += level(logits, within)
+        if learn:
+            for c, lo, hi in parts:
+                slopes = logits[:, lo:hi]
+                gradients["tokens"][c] = hidden[:, lo:hi] @ slopes.T
+                back[:, lo:hi] += p["tokens"][c] @ slopes
+            if parts:
+                gradients["token_shift"][[c for c, _, _ in parts]] = np.add.reduceat(logits, [lo for _, lo, _ in parts], axis=1).T
         unsorted = np.empty_like(out)
         unsorted[order] = out
-        if learn:
-            sorted_back, back = back, np.empty((len(order), WIDTH), np.float32)
-            back[order] = sorted_back.T
-        return unsorted, gradients, back
+        if not learn:
+            return unsorted, gradients, None
+        unsorted_back = np.empty((len(order), WIDTH), np.float32)
+        unsorted_back[order] = back.T
+        return unsorted, gradients, unsorted_back
 
     def learn(self, flat: np.ndarray) -> int:
         """Steps of Adagrad on the mean negative log-likelihood; how many tokens were seen."""
@@ -362,7 +373,6 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
     known = hashed(list(counts.carried))
     tokens, uncounted = counts.tokens()
     tasks, word_tasks = tokens // MEET + 1, uncounted // MEET + 1
-    parts, word_parts = 4 * tasks + 12, 4 * word_tasks + 12
     kind = dict(docs.dtypes)[id_col]
     names = ["part", "chunk", "tokens", "words", "gains", "row", "doc_id", "n_tokens", "sum"]
     schema = f"part int, chunk long, tokens binary, words binary, gains binary, row long, doc_id {kind}, n_tokens long, sum double"
@@ -382,7 +392,7 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
             rank = np.where(lacking, -1, np.fromiter((ranks.get(w, -1) for w in words), np.int32, len(words))).astype(np.int32)
             pairs, inner = neighbours(hashes[codes], sizes)
             held.append((hashes[codes], rank[codes], own.astype(np.float32), np.repeat(np.arange(rows, rows + len(sizes), dtype=np.int32), sizes), pairs, inner))
-            of_row = [pa.array(np.arange(rows, rows + len(sizes)) % parts, pa.int32()), pa.array((chunk << 24) + np.arange(rows, rows + len(sizes)), pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+            of_row = [pa.array(np.arange(rows, rows + len(sizes)) % tasks, pa.int32()), pa.array((chunk << 24) + np.arange(rows, rows + len(sizes)), pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
             yield _filled(schema_of, dict(zip(["part", "row", "doc_id", "n_tokens", "sum"], of_row)))
             rows, size = rows + len(sizes), size + len(codes)
             if max(rows, size) >= CHUNK:
@@ -397,22 +407,22 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
         of_token, rank, own, row, pairs, inner = (np.concatenate(x) for x in zip(*held))
         held.clear()
         at = np.flatnonzero(inner & (pairs % np.uint64(EVERY) == 0))
-        at, ends = _by_part(pairs[at], parts, at)
+        at, ends = _by_part(pairs[at], tasks, at)
         blobs = []
         for lo, hi in zip(ends, ends[1:]):
             places = at[lo:hi]
             codes = [rank[places + k] for k in (-1, 0, 1)]
             others = [of_token[places + k][c < 0] for k, c in zip((-1, 0, 1), codes)]
             blobs.append(packed(*codes, *others, own[places], np.diff(row[places], prepend=np.int32(0))))
-        full = [k for k in range(parts) if ends[k] < ends[k + 1]]
+        full = [k for k in range(tasks) if ends[k] < ends[k + 1]]
         yield _filled(schema_of, {"part": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "tokens": pa.array([blobs[k] for k in full], pa.binary())})
         at = np.flatnonzero(~inner & (rank < 0))
         one = np.ones(len(at), np.int32)
-        yield _filled(schema_of, _of_words(of_token[at], own[at], one, one, (chunk << 24) + row[at].astype(np.int64), word_parts))
+        yield _filled(schema_of, _of_words(of_token[at], own[at], one, one, (chunk << 24) + row[at].astype(np.int64), word_tasks))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts each pair, and each word in it; adds up what the memory adds to each row."""
-        of_pair, of_both, chunks = Tally(), Tally(), []
+        chunks, held = [], 0
         with tempfile.SpooledTemporaryFile(max_size=32 << 20) as kept:
             for batch in batches:
                 here = batch.column(2).is_valid()
@@ -421,33 +431,36 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
                     yield rest
                 mine = batch.filter(here)
                 for chunk, blob in zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()):
-                    pairs, both, *_ = met(blob)
-                    of_pair.add(pairs)
-                    of_both.add(both)
                     chunks.append((chunk, len(blob)))
+                    held += first_length(blob)
                     kept.write(blob)
             kept.seek(0)
+            sizes = [size for _, size in chunks]
+            if held <= 2 * MEET:
+                numbers = _numbered([met(kept.read(size)) for size in sizes])
+            else:  # a pair that is everywhere
+                of_pair, of_both = Tally(), Tally()
+                for size in sizes:
+                    pairs, both, *_ = met(kept.read(size))
+                    of_pair.add(pairs)
+                    of_both.add(both)
+                kept.seek(0)
+                numbers = ((of_pair.of(pairs), of_both.of(both), *more) for pairs, both, *more in (met(kept.read(size)) for size in sizes))
             later, waiting = [], 0
-            for chunk, size in chunks:
-                pairs, both, word, rank, own, row = met(kept.read(size))
-                order = np.argsort(both)  # nearly that of the pairs too
-                m, n = of_pair.of(pairs[order]), of_both.of(both[order])
-                wanted = rank[order] >= 0
-                several = wanted & (m > 1)
-                chosen = order[several]
-                yield _filled(schema_of, {"chunk": pa.array([chunk], pa.int64()), "gains": pa.array([_of_rows(row[chosen], gain(own[chosen], n[several], m[several]))], pa.binary())})
-                chosen = order[~wanted]
-                later.append((word[chosen], own[chosen], n[~wanted].astype(np.int32), m[~wanted].astype(np.int32), (chunk << 24) + row[chosen].astype(np.int64)))
-                waiting += len(chosen)
+            for (chunk, _), (m, n, lacking, word, own, row) in zip(chunks, numbers):
+                several = (m > 1) & ~lacking
+                yield _filled(schema_of, {"chunk": pa.array([chunk], pa.int64()), "gains": pa.array([_of_rows(row[several], gain(own[several], n[several], m[several]))], pa.binary())})
+                later.append((word, own[lacking], n[lacking].astype(np.int32), m[lacking].astype(np.int32), (chunk << 24) + row[lacking].astype(np.int64)))
+                waiting += len(word)
                 if waiting >= CHUNK:
-                    yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_parts))
+                    yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_tasks))
                     later, waiting = [], 0
             if later:
-                yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_parts))
+                yield _filled(schema_of, _of_words(*(np.concatenate(x) for x in zip(*later)), word_tasks))
         release_memory()
 
     def met(blob: bytes) -> tuple[np.ndarray, ...]:
-        """Of each token: its pair, its pair and word, its word, its rank, its log probability, and its row in the chunk."""
+        """Of each token: its pair, its pair and word, whether the word's count is lacking (and these words), its log probability, and its row in the chunk."""
         left, rank, right, *others, own, row = unpacked(blob, [np.int32] * 3 + [np.uint64] * 3 + [np.float32, np.int32])
         words = []
         for codes, other in zip((left, rank, right), others):
@@ -455,8 +468,7 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
             found[codes < 0] = other
             words.append(found)
         pairs = pair_hash(words[0], words[2])
-        # sorts nearly as the pairs do
-        return pairs, pairs + (mixed(words[1]) >> np.uint64(16)), words[1], rank, own, np.cumsum(row, dtype=np.int32)
+        return pairs, mixed(pairs + mixed(words[1])), rank < 0, others[1], own, np.cumsum(row, dtype=np.int32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts words, all of whose tokens are here."""
@@ -492,8 +504,8 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
 
     types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.float64()]
     schema_of = pa.schema(list(zip(names, types)))
-    scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema).repartition(tasks, "part").mapInArrow(meet, schema), "lm-scores")
-    words = scored.filter("words is not null").select("part", "words").repartition(word_tasks, "part").select("words")
+    scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema).repartitionById(tasks, "part").mapInArrow(meet, schema), "lm-scores")
+    words = scored.filter("words is not null").select("part", "words").repartitionById(word_tasks, "part").select("words")
     gains = scored.filter("gains is not null").select("chunk", "gains").unionAll(words.mapInArrow(count, "chunk long, gains binary"))
     gains = gains.repartition("chunk").mapInArrow(add, "row long, gain double")
     full = scored.filter("row is not null").select("row", "doc_id", "n_tokens", "sum").join(gains, "row", "left")
@@ -517,11 +529,16 @@ def packed(*arrays: np.ndarray) -> bytes:
     return np.array([len(body), *map(len, arrays)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
+def first_length(blob: bytes) -> int:
+    """How long the first array of :func:`packed` is."""
+    return int(np.frombuffer(blob, np.int64, 2)[1])
+
+
 def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
     """The arrays of :func:`packed`, whose kinds these are."""
-    size, *lengths = np.frombuffer(blob, np.int64, 1 + len(kinds)).tolist()
+    size, *counts = np.frombuffer(blob, np.int64, 1 + len(kinds)).tolist()
     body, at, out = pa.decompress(memoryview(blob)[8 * (1 + len(kinds)) :], size, codec="zstd", asbytes=True), 0, []
-    for n, kind in zip(lengths, kinds):
+    for n, kind in zip(counts, kinds):
         width = np.dtype(kind).itemsize
         part = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n)
         out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
@@ -557,6 +574,30 @@ def _filled(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def times(keys: np.ndarray) -> np.ndarray:
+    """How often the key of each place occurs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    counts = np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.repeat(counts, counts)
+    return out
+
+
+def _numbered(tokens: list[tuple]) -> Iterator[tuple]:
+    """Tokens with how often their pair, and their word in it, occurs among them, in place of these two."""
+    pairs, both, *more = zip(*tokens) if tokens else ((), ())
+    ends = np.cumsum([len(x) for x in pairs]).tolist()
+    m = times(np.concatenate(pairs)) if ends else np.zeros(0, np.int32)
+    n = np.ones(len(m), np.int32)
+    several = m > 1
+    if several.any():
+        n[several] = times(np.concatenate(both)[several])
+    del pairs, both
+    for lo, hi, *rest in zip([0, *ends], ends, *more):
+        yield m[lo:hi], n[lo:hi], *rest
+
+
 class Tally:
     """How often each key was added; equal keys take place once."""
 
@@ -583,7 +624,10 @@ class Tally:
     def of(self, keys: np.ndarray) -> np.ndarray:
         if self.waiting:
             self._sum()
-        return self.counts[np.searchsorted(self.keys, keys)]
+        order = np.argsort(keys)
+        out = np.empty(len(keys), np.int64)
+        out[order] = self.counts[np.searchsorted(self.keys, keys[order])]
+        return out
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
