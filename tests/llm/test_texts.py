@@ -138,6 +138,20 @@ def test_bands_miss_few_pairs():
     assert len(near_dedup._draws()[1]) >= 1 << 16
 
 
+def test_word_weights_of_any_hash():
+    """Each word has its own weight, wherever its hash lies; shingles weigh their count times the mean of their words."""
+    r = np.random.default_rng(4)
+    high = np.uint64(2**64 - 1)
+    for hashes in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.array([0, 1, 2, 3, high - np.uint64(1), high], np.uint64), np.unique(r.integers(0, 2**64, 3000, dtype=np.uint64))):
+        idf = near_dedup.WordWeights(hashes, r.random(len(hashes)).astype(np.float32), 9.0)
+        own = dict(zip(hashes.tolist(), idf.values.tolist()))
+        words = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), np.array([0, high], np.uint64), r.integers(0, 2**64, 50, dtype=np.uint64)])
+        assert idf.of(words).tolist() == [own.get(w, 9.0) for w in words.tolist()]
+    idf = near_dedup.WordWeights(*(x[np.argsort(near_dedup.word_hashes("a b c"))] for x in (near_dedup.word_hashes("a b c"), np.array([1, 2, 3], np.float32))), 6.0)
+    hashes, weights = near_dedup.weighted_shingles("a b c d e a b c d e", idf)  # the first shingle twice
+    assert (np.diff(hashes.astype(float)) > 0).all() and sorted(weights) == pytest.approx([18 / 5] * 4 + [36 / 5])
+
+
 def test_word_hashes():
     for text in ["", "a b a", "Ein  Wort\n\tund　mehr é", "\x00 x", *ODD, *noise(200, 7)]:
         words, hashes = text.lower().split(), near_dedup.word_hashes(text)

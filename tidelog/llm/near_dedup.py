@@ -116,11 +116,27 @@ class WordWeights:
     values: np.ndarray
     other: float
 
+    @functools.cached_property
+    def _starts(self) -> tuple[np.uint64, np.ndarray, int]:
+        """How far hashes are shifted to their first bits, where those with the same ones begin, and the most of these."""
+        bits = min(20, max(1, len(self.hashes)).bit_length())
+        starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return np.uint64(64 - bits), starts, int(np.diff(starts, append=len(self.hashes)).max())
+
     def of(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.full(len(words), self.other)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.values[at], self.other)
+        shift, starts, most = self._starts
+        at = starts[(words >> shift).astype(np.intp)]
+        found = self.hashes.take(at, mode="clip")
+        left = np.flatnonzero(found < words)
+        for _ in range(most):
+            if not len(left):
+                break
+            at[left] += 1
+            found[left] = self.hashes.take(at[left], mode="clip")
+            left = left[(found[left] < words[left]) & (at[left] < len(self.hashes))]
+        return np.where(found == words, self.values.take(at, mode="clip"), self.other)
 
 
 def weighted_shingles(text: str, idf: WordWeights) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +153,11 @@ def weighted_shingles(text: str, idf: WordWeights) -> tuple[np.ndarray, np.ndarr
         runs *= np.uint64(0x9E3779B97F4A7C15)
         runs += words[k : n - width + 1 + k]
         weight += of_word[k : n - width + 1 + k]
-    hashes, first, counts = np.unique(mixed(runs), return_index=True, return_counts=True)
-    return hashes, counts * weight[first] / width
+    hashes = mixed(runs)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.diff(first, append=len(hashes)) * weight[order[first]] / width
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
