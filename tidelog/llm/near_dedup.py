@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import saved, texts
+from .common import release_memory, saved, texts
 from .components import components, extended
 
 WIDTH = 5
@@ -121,7 +121,7 @@ class WordWeights:
         """How far hashes are shifted to their first bits, where those with the same ones begin, and the most of these."""
         bits = min(20, max(1, len(self.hashes)).bit_length())
         starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        return np.uint64(64 - bits), starts, int(np.diff(starts, append=len(self.hashes)).max())
+        return np.uint64(64 - bits), starts.astype(np.int32), int(np.diff(starts, append=len(self.hashes)).max())
 
     def of(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -278,6 +278,7 @@ def word_idf(docs: DataFrame, text_col: str = "text", share: float = RARE_SHARE)
             yield counted()
         if rows:  # the number of texts stands without a word
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["word", "n"])
+        release_memory()
 
     counted = saved(docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     named = F.col("word").isNotNull()
@@ -310,6 +311,7 @@ def sketches(rows: DataFrame, idf: WordWeights) -> DataFrame:
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
+        release_memory()
 
     # blank texts, whose node is null, go on the other side: here the test would hash each text again
     return rows.select("node", "text").mapInArrow(run, "node binary, keys array<long>").dropDuplicates(["node"])
@@ -361,6 +363,7 @@ def verified(pairs: DataFrame, content: DataFrame, idf: WordWeights, threshold:
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+        release_memory()
 
     return dealt.mapInArrow(run, "u binary, v binary")
 
@@ -428,6 +431,7 @@ def prefixes(named: DataFrame, idf: WordWeights, threshold: float) -> DataFrame:
             flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((kept, np.int64), (rests, np.float64))]
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.float64()), *lists], ["node", "size", "shingles", "rests"])
+        release_memory()
 
     listed = named.mapInArrow(run, "node binary, size double, shingles array<long>, rests array<double>")
     return listed.select("node", "size", F.explode(F.arrays_zip("shingles", "rests")).alias("one")).select(F.col("one.shingles").alias("shingle"), "node", "size", F.col("one.rests").alias("rest"))

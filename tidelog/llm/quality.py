@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved, texts
+from .common import release_memory, saved, texts
 
 #: Pairs that the fit has at least, if there are so many.
 PAIRS = 40_000
@@ -295,6 +295,7 @@ def _pairs(rows: DataFrame, good: int, bad: int) -> DataFrame:
                     blocks += [p.tobytes() for p in paired(part, rare[0], turns, at)]
                     at += len(part)
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["pairs"])
+        release_memory()
 
     return dealt.mapInArrow(run, "pairs binary")
 
@@ -327,6 +328,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t).astype(np.float64).tobytes() for t in texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "features"])
+        release_memory()
 
 
 def score_documents(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,5 +353,6 @@ def keep_good(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> D
             whole = texts(batch.column(batch.schema.names.index(text_col)))
             rows = np.array([features(t) for t in whole]).reshape(len(whole), len(NAMES))
             yield batch.filter(pa.array(model.score(rows) >= 0.5))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
