@@ -255,6 +255,58 @@ def test_language_model_gradient():
         assert seen[-1] == pytest.approx(float(gradients[name][at]), rel=0.05), name
 
 
+def test_language_model_steps_are_plain_ones(monkeypatch):
+    """Log probabilities in any block and gradients are those of the formula, also where powers of logits overflow."""
+    r = np.random.default_rng(5)
+    for scale, columns in ((0.5, lm_score.COLUMNS), (40.0, 7)):
+        monkeypatch.setattr(lm_score, "COLUMNS", columns)
+        network = lm_score.Network.fresh()
+        p = network.parts
+        for name in ("classes", "class_shift", "tokens", "token_shift"):
+            p[name] += r.normal(0, scale, p[name].shape).astype(np.float32)
+        hidden = np.tanh(r.normal(0, 1, (50, lm_score.WIDTH))).astype(np.float32)
+        target = np.sort(r.integers(0, lm_score.PAD, 50)).astype(np.uint16)
+        group, within = target // lm_score.WITHIN, target % lm_score.WITHIN
+        first = hidden.astype(float) @ p["classes"] + p["class_shift"]
+        second = np.einsum("td,tdw->tw", hidden.astype(float), p["tokens"][group]) + p["token_shift"][group]
+        logs = [x - x.max(axis=1, keepdims=True) for x in (first, second)]
+        logs = [x - np.log(np.exp(x).sum(axis=1, keepdims=True)) for x in logs]
+        rows = np.arange(50)
+        with np.errstate(over="raise", invalid="raise", divide="raise"):
+            got, gradients, back = network._softmax(np.vstack([hidden.T, np.ones((1, 50), np.float32)]), target, True)
+        assert np.allclose(got, logs[0][rows, group] + logs[1][rows, within], rtol=1e-4, atol=1e-4)
+        slopes = [np.exp(x) for x in logs]
+        slopes[0][rows, group] -= 1
+        slopes[1][rows, within] -= 1
+        expected = slopes[0] @ p["classes"].T + np.einsum("tw,tdw->td", slopes[1], p["tokens"][group])
+        assert np.allclose(back[:, :50].T, expected, rtol=1e-3, atol=1e-2) and not back[:, 50].any()
+        assert np.allclose(gradients["classes"], hidden.T @ slopes[0], rtol=1e-3, atol=1e-3) and np.allclose(gradients["class_shift"], slopes[0].sum(axis=0), rtol=1e-3, atol=1e-3)
+        of_tokens, shift = np.zeros_like(p["tokens"]), np.zeros_like(p["token_shift"])
+        np.add.at(of_tokens, group, hidden[:, :, None] * slopes[1][:, None])
+        np.add.at(shift, group, slopes[1])
+        assert np.allclose(gradients["tokens"], of_tokens, rtol=1e-3, atol=1e-3) and np.allclose(gradients["token_shift"], shift, rtol=1e-3, atol=1e-3)
+
+
+def test_language_model_looks_words_up_once(monkeypatch):
+    """Ranks, hashes and ids as by the vocabulary; only words whose count does not travel are hashed."""
+    words = [f"w{k}" for k in range(lm_score.WORDS)]
+    carried = {w: 5 for w in [*words, "rare", "é"]}
+    counts, vocabulary = lm_score.Counts(words, carried, [9] * lm_score.RARE), lm_score.Vocabulary(words)
+    known, asked = lm_score.hashed(list(carried)), ["w0", "new", "é", "w1471", "rare", "other"]
+    plain = lm_score.hashed(asked)
+    looked = []
+    word_hash = lm_score.word_hash
+    monkeypatch.setattr(lm_score, "word_hash", lambda w: looked.append(w) or word_hash(w))
+    ranks, hashes, ids = lm_score.Ranks(counts, known).of(asked)
+    assert looked == ["new", "other"] and ranks.tolist() == [0, -1, 1473, 1471, 1472, -1]
+    assert (hashes == plain).all() and (ids == vocabulary.ids(asked, plain)).all()
+    logs, lacking = counts.shares(ranks, ids)
+    assert np.allclose(logs, [0, -np.log(9), np.log(5 / 9), 0, np.log(5 / 9), -np.log(9)]) and lacking.tolist() == [False, True, False, False, False, True]
+    empty = lm_score.Ranks(lm_score.Counts([], {}, [2] * lm_score.RARE), lm_score.hashed([]))
+    assert empty.of(["a"])[0].tolist() == [-1] and (empty.of(["a"])[1] == lm_score.hashed(["a"])).all()
+    assert [len(x) for x in empty.of([])] == [0, 0, 0]
+
+
 def test_words_of_the_language_model():
     words, codes, sizes = lm_score.tokenized([" A b\n a ", None, "", "B  c"])
     assert [words[k] for k in codes] == ["a", "b", "a", "b", "c"] and sizes.tolist() == [3, 0, 0, 2]

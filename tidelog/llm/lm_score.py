@@ -66,6 +66,8 @@ SIDE, WIDTH = 3, 24
 PLACES = [k for k in range(2 * SIDE + 1) if k != SIDE]
 #: Tokens of one step of training, and of one block of scores.
 STEP, BLOCK_TOKENS = 8192, 16384
+#: Tokens of one product of matrices, which stay in the cache; they decide no score.
+COLUMNS = 768
 RATE = 0.08
 #: The warm start: whole texts of up to so many code points, and passes over them.
 WARM_DOCS, WARM_CHARS, WARM_PASSES = 400, 20_000, 2
@@ -136,7 +138,7 @@ class Vocabulary:
 
 @dataclass
 class Counts:
-    """The network's words, the counts that travel, and the tokens of each bucket."""
+    """The network's words, the counts that travel, these words first, and the tokens of each bucket."""
 
     words: list[str]
     carried: dict[str, int]
@@ -147,15 +149,32 @@ class Counts:
         every = sum(self.buckets) + sum(self.carried[w] for w in self.words)
         return every, every - sum(self.carried.values())
 
-    def shares(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, ranks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logs of rare words' shares of their buckets, and which lack their count; those have the rest of it."""
-        found = self.carried.get
         rare = ids >= WORDS
-        n = np.fromiter((found(w, 0) for w in words), np.float64, len(words))
+        # the last place is that of rank -1
+        n = np.fromiter((*self.carried.values(), 0), np.float64, len(self.carried) + 1)[ranks]
         totals = np.array([1] * WORDS + [max(1, b) for b in self.buckets], np.float64)[ids]
         return np.where(rare, np.log(np.maximum(n, 1)) - np.log(totals), 0.0), rare & (n == 0)
 
 
+class Ranks:
+    """Looks up each word once, for its place among the words whose counts travel, its hash and its id."""
+
+    def __init__(self, counts: Counts, known: np.ndarray):
+        self.ranks, self.known, self.words = {w: k for k, w in enumerate(counts.carried)}, known, len(counts.words)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks (-1 if its count does not travel), hashes, and the ids of :class:`Vocabulary`."""
+        found = self.ranks.get
+        ranks = np.fromiter((found(w, -1) for w in words), np.int32, len(words))
+        other = np.flatnonzero(ranks < 0)
+        hashes = self.known[ranks] if len(self.known) else np.zeros(len(words), np.uint64)
+        hashes[other] = hashed([words[k] for k in other.tolist()])
+        own = (ranks >= 0) & (ranks < self.words)
+        return ranks, hashes, np.where(own, ranks, WORDS + (hashes % np.uint64(RARE)).astype(np.int64))
+
+
 def word_counts(docs: DataFrame, text_col: str = "text", carried: int = CARRIED) -> Counts:
     """Counts over all documents, the most frequent words first, ties by the word.
 
@@ -230,102 +249,118 @@ class Network:
         return Network(parts, {k: v.copy() for k, v in self.sums.items()})
 
     def _hidden(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embeddings of a block of places and its ends, and the hidden units of the places."""
-        seen = self.parts["embedding"][part]
+        """The embeddings of a block of places and its ends, and the hidden units of the places
+        with a last row of ones.  Places stand side by side, as in all that follows."""
+        seen = np.ascontiguousarray(self.parts["embedding"].T).take(part.astype(np.intp), axis=1, mode="clip")
         n = len(part) - 2 * SIDE
-        total = np.tile(self.parts["shift"], (n, 1))
+        hidden, weighted = np.ones((WIDTH + 1, n), np.float32), np.empty((WIDTH, n), np.float32)
+        total = hidden[:WIDTH]
+        total[...] = self.parts["shift"][:, None]
         for weight, at in zip(self.parts["place"], PLACES):
-            total += weight * seen[at : at + n]
-        return seen, np.tanh(total, out=total)
+            total += np.multiply(weight[:, None], seen[:, at : at + n], out=weighted)
+        np.tanh(total, out=total)
+        return seen, hidden
 
     def log_probabilities(self, flat: np.ndarray) -> np.ndarray:
         """log P(token | its window) of every token of :func:`laid`."""
         out = [np.zeros(0, np.float32)]
         for part in blocks(flat, BLOCK_TOKENS):
             middle = part[SIDE:-SIDE]
-            shown = middle != PAD
-            out.append(self._softmax(self._hidden(part)[1][shown], middle[shown])[0])
+            order = _by_target(middle)
+            found = np.zeros(len(middle), np.float32)
+            found[order] = self._softmax(self._hidden(part)[1].take(order, axis=1, mode="clip"), middle[order])[0]
+            out.append(found[middle != PAD])
         return np.concatenate(out)
 
     def _softmax(self, hidden: np.ndarray, target: np.ndarray, learn: bool = False):
-        """The log probabilities of targets; to learn, also the gradients and what goes back to ``hidden``."""
-        p = self.parts
-        order = np.argsort(target, kind="stable")  # the classes one after another
-        hidden, target = np.ascontiguousarray(hidden[order].T), target[order]  # tokens side by side
-        group, within = (target // WITHIN).astype(np.intp), (target % WITHIN).astype(np.intp)
-        rows = np.arange(len(target))
-        gradients = {k: np.zeros_like(p[k]) for k in ("classes", "class_shift", "tokens", "token_shift")} if learn else {}
+        """The log probabilities of targets, which come sorted; to learn, also the gradients and what
+        goes back to ``hidden``, with a last column of zeros."""
+        p, n = self.parts, len(target)
+        # the shifts are the weights of the row of ones
+        classes = np.vstack([p["classes"], p["class_shift"]])
+        tokens = np.concatenate([p["tokens"], p["token_shift"][:, None]], axis=1)
+        to_classes, to_tokens = np.ascontiguousarray(classes.T), np.ascontiguousarray(tokens.transpose(0, 2, 1))
+        of_classes, of_tokens = np.zeros_like(to_classes), np.zeros_like(to_tokens)
+        # no logit is beyond this, for hidden units are in -1 .. 1; powers of it are far from the ends of their kind
+        small = max(np.abs(classes).sum(axis=0).max(), np.abs(tokens).sum(axis=1).max()) < 40
+        group, within, row = (target // WITHIN).astype(np.intp), (target % WITHIN).astype(np.intp), np.arange(n)
 
         def level(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
             """The log probabilities of what is chosen; to learn, the logits become the loss's slopes."""
-            logits -= logits.max(axis=0)
-            found = logits[chosen, rows]
-            powers = np.exp(logits, out=logits)
-            totals = powers.sum(axis=0)
+            if not small:
+                logits -= logits.max(axis=0)
+            flat, at = logits.reshape(-1), chosen * n + row
+            found = flat[at]
+            totals = np.exp(logits, out=logits).sum(axis=0)
             found -= np.log(totals)
             if learn:
-                powers /= totals
-                powers[chosen, rows] -= 1
+                logits /= totals
+                flat[at] -= 1
             return found
 
-        logits = p["classes"].T @ hidden
-        logits += p["class_shift"][:, None]
+        columns = [slice(lo, min(lo + COLUMNS, n)) for lo in range(0, n, COLUMNS)]
+        logits = np.empty((CLASSES, n), np.float32)
+        for x in columns:
+            np.matmul(to_classes, hidden[:, x], out=logits[:, x])
         out = level(logits, group)
+        back = np.zeros((WIDTH, n + 1), np.float32) if learn else None
         if learn:
-            gradients["classes"][...], gradients["class_shift"][...] = hidden @ logits.T, logits.sum(axis=1)
-            back = p["classes"] @ logits
+            for x in columns:
+                of_classes += logits[:, x] @ hidden[:, x].T
+                np.matmul(p["classes"], logits[:, x], out=back[:, x])
         ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-        parts = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
-        logits = np.empty((WITHIN, len(target)), np.float32)
-        for c, lo, hi in parts:
-            np.add(p["tokens"][c].T @ hidden[:, lo:hi], p["token_shift"][c][:, None], out=logits[:, lo:hi])
+        parts = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
+        logits = np.concatenate([np.zeros((WITHIN, 0), np.float32), *(to_tokens[c] @ hidden[:, x] for c, x in parts)], axis=1)
         out += level(logits, within)
         if learn:
-            for c, lo, hi in parts:
-                slopes = logits[:, lo:hi]
-                gradients["tokens"][c] = hidden[:, lo:hi] @ slopes.T
-                back[:, lo:hi] += p["tokens"][c] @ slopes
-            if parts:
-                gradients["token_shift"][[c for c, _, _ in parts]] = np.add.reduceat(logits, [lo for _, lo, _ in parts], axis=1).T
-        unsorted = np.empty_like(out)
-        unsorted[order] = out
+            for c, x in parts:
+                of_tokens[c] = logits[:, x] @ hidden[:, x].T
+            back[:, :n] += np.concatenate([p["tokens"][c] @ logits[:, x] for c, x in parts], axis=1)
         if not learn:
-            return unsorted, gradients, None
-        unsorted_back = np.empty((len(order), WIDTH), np.float32)
-        unsorted_back[order] = back.T
-        return unsorted, gradients, unsorted_back
+            return out, {}, None
+        of_tokens = of_tokens.transpose(0, 2, 1)
+        gradients = {"classes": of_classes.T[:WIDTH], "class_shift": of_classes.T[WIDTH], "tokens": of_tokens[:, :WIDTH], "token_shift": of_tokens[:, WIDTH]}
+        return out, gradients, back
 
     def learn(self, flat: np.ndarray) -> int:
         """Steps of Adagrad on the mean negative log-likelihood; how many tokens were seen."""
         tokens = 0
         for part in blocks(flat, STEP):
             middle = part[SIDE:-SIDE]
-            shown, n = middle != PAD, len(middle)
-            if not shown.any():
+            order, n = _by_target(middle), len(middle)
+            size = len(order)
+            if not size:
                 continue
             seen, hidden = self._hidden(part)
-            _, gradients, of_shown = self._softmax(hidden[shown], middle[shown], True)
-            back = np.zeros_like(hidden)
-            back[shown] = of_shown
-            back *= 1 - hidden * hidden
-            gradients["shift"] = back.sum(axis=0)
-            gradients["place"] = np.stack([np.einsum("bd,bd->d", seen[at : at + n], back) for at in PLACES])
-            each = np.zeros_like(seen)
+            _, gradients, back = self._softmax(hidden.take(order, axis=1, mode="clip"), middle[order], True)
+            places = np.full(n, size)  # what is not shown takes the column of zeros
+            places[order] = np.arange(size)
+            back = back.take(places, axis=1, mode="clip")
+            back *= 1 - np.square(hidden[:WIDTH])
+            each, weighted = np.zeros_like(seen), np.empty_like(back)
             for weight, at in zip(self.parts["place"], PLACES):
-                each[at : at + n] += weight * back
+                each[:, at : at + n] += np.multiply(weight[:, None], back, out=weighted)
+            gradients["place"] = np.stack([np.einsum("db,db->d", seen[:, at : at + n], back) for at in PLACES])
+            gradients["shift"] = back.sum(axis=1)
             order = np.argsort(part, kind="stable")
-            ids, firsts = np.unique(part[order], return_index=True)
+            ids = part[order]
+            firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             gradients["embedding"] = np.zeros_like(self.parts["embedding"])
-            gradients["embedding"][ids] = np.add.reduceat(each[order], firsts, axis=0)
-            size = int(shown.sum())
+            gradients["embedding"][ids[firsts]] = np.add.reduceat(each.take(order, axis=1, mode="clip"), firsts, axis=1).T
             for name, g in gradients.items():
-                g = (g / size).astype(np.float32)
+                g = g / np.float32(size)
                 self.sums[name] += g * g
-                self.parts[name] -= RATE * g / np.sqrt(self.sums[name])
+                self.parts[name] -= np.float32(RATE) * g / np.sqrt(self.sums[name])
             tokens += size
         return tokens
 
 
+def _by_target(middle: np.ndarray) -> np.ndarray:
+    """The places of a block's tokens, by the token."""
+    shown = np.flatnonzero(middle != PAD)
+    return shown[np.argsort(middle[shown], kind="stable")]
+
+
 def train(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Trains on all documents."""
     warm = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, WARM_CHARS))
@@ -378,18 +413,17 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
     schema = f"part int, chunk long, tokens binary, words binary, gains binary, row long, doc_id {kind}, n_tokens long, sum double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ranks = Vocabulary(counts.words), {w: k for k, w in enumerate(counts.carried)}
+        ranks = Ranks(counts, known)
         chunk, held, rows, size = TaskContext.get().partitionId() << 16, [], 0, 0
         for batch in grouped(batches):
             words, codes, sizes = tokenized(batch.column(1))
-            hashes = hashed(words)
-            ids = vocabulary.ids(words, hashes)
-            logs, lacking = counts.shares(words, ids)
+            rank, hashes, ids = ranks.of(words)
+            logs, lacking = counts.shares(rank, ids)
             own = network.log_probabilities(laid(ids[codes], sizes)).astype(np.float64) + logs[codes]
             ends = np.cumsum(sizes)
             sums = np.zeros(len(sizes))
             sums[sizes > 0] = np.add.reduceat(own, (ends - sizes)[sizes > 0]) if len(own) else 0
-            rank = np.where(lacking, -1, np.fromiter((ranks.get(w, -1) for w in words), np.int32, len(words))).astype(np.int32)
+            rank[lacking] = -1
             pairs, inner = neighbours(hashes[codes], sizes)
             held.append((hashes[codes], rank[codes], own.astype(np.float32), np.repeat(np.arange(rows, rows + len(sizes), dtype=np.int32), sizes), pairs, inner))
             of_row = [pa.array(np.arange(rows, rows + len(sizes)) % tasks, pa.int32()), pa.array((chunk << 24) + np.arange(rows, rows + len(sizes)), pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
