@@ -152,6 +152,32 @@ def test_word_weights_of_any_hash():
     assert (np.diff(hashes.astype(float)) > 0).all() and sorted(weights) == pytest.approx([18 / 5] * 4 + [36 / 5])
 
 
+def test_samples_work_out_few_values(monkeypatch):
+    """Samples are those of all values, also where no value is below the bound; most values are not worked out."""
+    r = np.random.default_rng(8)
+    multipliers = near_dedup._draws()[0]
+    for n, spread in ((1, 0), (7, 1), (300, 0), (300, 2), (5000, 1)):
+        hashes = np.sort(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        weights = np.exp(r.normal(1, spread, n))
+        short, ln_w = (hashes >> np.uint64(32)).astype(np.uint32), np.log(weights).astype(np.float32)
+        places, steps = near_dedup._least(short, ln_w, multipliers)
+        for share in (0.001, 1, 6):  # nearly none, most, nearly all are below
+            found, *of_found = near_dedup._below(short, ln_w, multipliers, np.float32(np.log(share / weights.sum())))
+            assert (of_found[0] == places[found]).all() and (of_found[1] == steps[found]).all()
+            assert found.mean() > 0.9 if share == 6 else found.mean() < 0.9
+        drawn = []
+        for few in (0, 1 << 30):
+            monkeypatch.setattr(near_dedup, "_FEW", few)
+            drawn.append(near_dedup.samples(hashes, weights))
+        assert (drawn[0] == drawn[1]).all() and len(drawn[0]) == near_dedup.BANDS * near_dedup.ROWS
+    full = []
+    plain = near_dedup._least
+    monkeypatch.setattr(near_dedup, "_FEW", 100)
+    monkeypatch.setattr(near_dedup, "_least", lambda s, w, m: full.append(len(m)) or plain(s, w, m))
+    near_dedup.samples(hashes, weights)
+    assert sum(full) < 5
+
+
 def test_word_hashes():
     for text in ["", "a b a", "Ein  Wort\n\tund　mehr é", "\x00 x", *ODD, *noise(200, 7)]:
         words, hashes = text.lower().split(), near_dedup.word_hashes(text)

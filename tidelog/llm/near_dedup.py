@@ -64,6 +64,8 @@ BROADCAST_ROWS = 100_000
 _NEARLY = 1 - 1e-9
 _TABLE_BITS = 16
 _BLOCK = 1 << 12
+#: With fewer shingles all their values are worked out; it decides no sample.
+_FEW = 100
 
 
 # The bytes that separate words, and white space beyond ASCII.
@@ -88,16 +90,18 @@ def word_hashes(text: str) -> np.ndarray:
     sums of bytes times powers of the base, moved to power 0 and scrambled.
     """
     text = text.lower()
-    if _WIDE_SPACE.search(text):
+    if not text.isascii() and _WIDE_SPACE.search(text):
         text = " ".join(text.split())
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACES[raw]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    space = np.ones(len(raw) + 2, bool)
+    _SPACES.take(raw, mode="clip", out=space[1:-1])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
     up, down = _powers(1 << max(15, len(raw).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    own = np.add(raw, np.uint64(1), out=sums[1:])
+    own *= up[: len(raw)]
+    np.cumsum(own, out=own)
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -170,13 +174,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 @functools.cache
 def _draws():
     """The random variables of the samples: a multiplier per sample, which deals
-    shingles to table entries, and tables of (1/r, beta) and (r, ln c + r (beta - 1)).
-    Each pair is one complex number, so that one lookup reads both."""
+    shingles to table entries, tables of (1/r, beta) and (r, ln c + r (beta - 1)),
+    and one of a bit less than ln c - r.  Each pair is one complex number, so that
+    one lookup reads both."""
     random = np.random.default_rng(11)
     size = 1 << _TABLE_BITS
     multipliers = random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
     r, beta, c = random.gamma(2.0, 1.0, size), random.random(size), random.gamma(2.0, 1.0, size)
-    return multipliers, (1 / r + 1j * beta).astype(np.complex64), (r + 1j * (np.log(c) + r * (beta - 1))).astype(np.complex64)
+    least = (np.log(c) - r - 1e-3).astype(np.float32)
+    return multipliers, (1 / r + 1j * beta).astype(np.complex64), (r + 1j * (np.log(c) + r * (beta - 1))).astype(np.complex64), least
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -185,17 +191,31 @@ def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     With t = floor(ln w / r + beta), the shingle of least ln c - r (t - beta + 1)
     is selected.  Ties fall to the smaller shingle hash, for hashes come sorted.
     """
-    multipliers, steps_of, values_of = _draws()
+    multipliers = _draws()[0]
     k = len(multipliers)
-    best, chosen, steps = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.float32)
+    ln_w = np.log(weights).astype(np.float32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    chosen, steps, left = np.zeros(k, np.intp), np.zeros(k, np.float32), np.arange(k)
+    if len(hashes) >= _FEW:
+        found, *of_found = _below(short, ln_w, multipliers, np.float32(np.log(6 / weights.sum())))
+        chosen[found], steps[found] = of_found
+        left = np.flatnonzero(~found)
+    if len(left) and len(hashes):
+        chosen[left], steps[left] = _least(short, ln_w, multipliers[left])
+    selected = hashes[chosen] if len(hashes) else np.zeros(k, np.uint64)
+    return mixed(selected + mixed(steps.astype(np.int64).astype(np.uint64) + np.arange(k, dtype=np.uint64)))
+
+
+def _least(short: np.ndarray, ln_w: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each sample's shingle, and its step, by the values of all shingles."""
+    _, steps_of, values_of, _ = _draws()
+    k = len(multipliers)
+    best, chosen, steps = np.full(k, np.inf, np.float32), np.zeros(k, np.intp), np.zeros(k, np.float32)
     row = np.arange(k)
-    for at in range(0, len(hashes), 256):
-        part = hashes[at : at + 256]
-        ln_w = np.log(weights[at : at + 256]).astype(np.float32)
-        short = (part >> np.uint64(32)).astype(np.uint32)
-        index = ((short[None, :] * multipliers[:, None]) >> np.uint32(32 - _TABLE_BITS)).astype(np.intp)
+    for at in range(0, len(short), 256):
+        index = ((short[None, at : at + 256] * multipliers[:, None]) >> np.uint32(32 - _TABLE_BITS)).astype(np.intp)
         drawn = steps_of.take(index, mode="clip")
-        t = drawn.real * ln_w
+        t = drawn.real * ln_w[at : at + 256]
         t += drawn.imag
         np.floor(t, out=t)
         drawn = values_of.take(index, mode="clip")
@@ -204,9 +224,46 @@ def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         found = value[row, least]
         better = found < best
         best = np.where(better, found, best)
-        chosen = np.where(better, part[least], chosen)
+        chosen = np.where(better, at + least, chosen)
         steps = np.where(better, t[row, least], steps)
-    return mixed(chosen + mixed(steps.astype(np.int64).astype(np.uint64) + row.astype(np.uint64)))
+    return chosen, steps
+
+
+def _below(short: np.ndarray, ln_w: np.ndarray, multipliers: np.ndarray, bound: np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which samples' least value lies below ``bound``, and the places and steps of these.
+
+    A value is at least ln c - r - ln w, so only shingles for which this lies below
+    the bound have theirs worked out.  The least value is exponential with the sum
+    of weights: a bound of ln(6 / sum) misses one sample in 400, to be done in full.
+    """
+    _, steps_of, values_of, least_of = _draws()
+    k, n = len(multipliers), len(short)
+    bounds = ln_w + bound
+    rows, places, indices = [], [], []
+    several = max(1, (1 << 16) // n)
+    for at in range(0, k, several):
+        index = ((short * multipliers[at : at + several, None]) >> np.uint32(32 - _TABLE_BITS)).astype(np.intp)
+        flat = np.flatnonzero(least_of.take(index, mode="clip") < bounds)
+        row = flat // n
+        places.append(flat - row * n)
+        rows.append(row + at)
+        indices.append(index.reshape(-1)[flat])
+    row, place, index = np.concatenate(rows), np.concatenate(places), np.concatenate(indices)
+    drawn = steps_of.take(index, mode="clip")
+    t = drawn.real * ln_w[place]
+    t += drawn.imag
+    np.floor(t, out=t)
+    drawn = values_of.take(index, mode="clip")
+    value = drawn.imag - drawn.real * t
+    below = np.flatnonzero(value < bound)
+    row, place, t, value = row[below], place[below], t[below], value[below]
+    ends = np.searchsorted(row, np.arange(k + 1))
+    found = ends[1:] > ends[:-1]
+    firsts = ends[:-1][found]
+    least = np.minimum.reduceat(value, firsts) if len(firsts) else value
+    hit = np.flatnonzero(value == np.repeat(least, (ends[1:] - ends[:-1])[found]))
+    hit = hit[np.searchsorted(hit, firsts)]  # the first of equal ones
+    return found, place[hit], t[hit]
 
 
 def bucket_keys(drawn: np.ndarray) -> np.ndarray:
