@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontaminate, html_extract, lm_score, near_dedup, neighbours, quality, secret_scan, token_counts, token_files
+from tidelog.llm.common import BATCH_ROWS, bound_batches
 from tidelog.llm.components import components
 from tidelog.llm.queries import tokenizer_path
 
@@ -46,6 +47,12 @@ def test_bpe_tables(docs, empty):
     assert sorted(r.text for r in bpe.decode_documents(encoded, path).collect()) == sorted([*(t or "" for t in TEXTS), BASE])
 
 
+def test_batches_are_bounded(spark):
+    bound_batches(spark)
+    for name in ("execution.arrow.maxRecordsPerBatch", "parquet.columnarReaderBatchSize"):
+        assert spark.conf.get(f"spark.sql.{name}") == str(BATCH_ROWS)
+
+
 def test_token_counts(docs, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     got = token_counts.count_tokens(docs, path).collect()

@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import bpe, decontaminate, hilbert, html_extract, lm_score, near_dedup, neighbours, quality, secret_scan, token_counts, token_files, training_pages
@@ -53,6 +54,30 @@ def test_batches_equal_the_library(coder, library):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x.ids for x in library.encode_batch(cases, add_special_tokens=False)]
 
 
+def test_encoding_takes_few_bytes_at_once(coder, monkeypatch):
+    class Table:
+        dtypes = [("doc_id", "bigint")]
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, function, schema: function
+
+    class Watched:
+        def encode_batch(self, column):
+            sizes.append(column.nbytes)
+            return coder.encode_batch(column)
+
+        def forget(self):
+            sizes.append(0)
+
+    sizes, words = [], noise(100, 5)
+    rows = [" ".join(words[k % 50 :]) * 6 for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 20)), pa.array(rows[k : k + 20])], ["doc_id", "text"]) for k in range(0, 400, 20)]
+    assert sum(b.nbytes for b in batches) > 6 << 20
+    monkeypatch.setattr(bpe, "load", lambda path: Watched())
+    found = [x for b in bpe.encode_documents(Table(), "")(iter(batches)) for x in b.column(2).to_pylist()]
+    assert found[::20] == [coder.encode_bytes(t) for t in rows[::20]]
+    assert max(sizes) < 2 << 20
+
+
 def test_forced_boundaries(coder):
     for word in (b"zqxj", "wörd漢".encode(), b"hello"):
         parts = coder.fragments(word)

@@ -39,6 +39,9 @@ from .common import release_memory
 
 #: Distinct words, and distinct fragments, that a worker keeps at least while a task runs.
 CACHE = 120_000
+#: Bytes of texts that :func:`encode_documents` encodes at once: their tokens stand in
+#: arrays of many times that size.  It decides no id.
+GROUP_BYTES = 1 << 20
 #: Pre-tokens never span a space between two visible characters.  White space
 #: before a space that further white space or the end follows is left whole.
 _RUN = re.compile(r"\s (?:\s|$)")
@@ -460,8 +463,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in grouped(batches):
-            for lo, hi in slices(batch.column(1)):
+        for batch in grouped(batches, GROUP_BYTES):
+            for lo, hi in slices(batch.column(1), GROUP_BYTES):
                 ids, bounds = bpe.encode_batch(batch.column(1)[lo:hi])
                 raw = [ids[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds), pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])

@@ -24,8 +24,9 @@ BATCH_ROWS = 500
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to ``BATCH_ROWS`` rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sets the session's Arrow batches, and those that Parquet is read in, to ``BATCH_ROWS`` rows."""
+    for name in ("execution.arrow.maxRecordsPerBatch", "parquet.columnarReaderBatchSize"):
+        spark.conf.set(f"spark.sql.{name}", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
