@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -285,6 +286,24 @@ def test_language_model_memory(spark):
         assert [got[k] for k in range(len(texts))] == pytest.approx(expected, rel=1e-5)
 
 
+def test_language_model_leaves_no_shuffle(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    docs = spark.createDataFrame([(k, f"one two w{k} three four") for k in range(300)], "doc_id long, text string")
+    before = shuffled()
+    counts = lm_score.word_counts(docs)
+    result = lm_score.score_documents(docs, counts, lm_score.train(docs, counts.words))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert result.count() == 300
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
 def test_language_model_remembers_every_pair(spark, monkeypatch):
     """Between every pair of words, not some by hash; where tasks and chunks end changes nothing."""
     passage = [f"p{k}" for k in range(50)]

@@ -25,7 +25,8 @@ Counts of the most frequent words travel with the tasks; all others are counted
 by 64-bit hash in a shuffle, as are the pairs; only what has an equal hash would
 be counted as one.  Tokens travel to their pair in compressed arrays, a word of
 the most frequent as its rank; a task keeps arrays of its tokens in a temporary
-file and in memory only the counts.
+file and in memory only the counts.  The files of a shuffle are removed when
+what is made of it is written.
 
 Training sees every document: after a warm start on ``WARM_DOCS`` documents,
 each task continues from the same weights over all its rows, and the changes
@@ -54,7 +55,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import grouped
-from .common import release_memory, remove, saved, scratch
+from .common import release_memory, remove, saved, scratch, shuffles_removed
 from .near_dedup import mixed
 
 CLASSES, WITHIN = 48, 32
@@ -193,9 +194,10 @@ def word_counts(docs: DataFrame, text_col: str = "text", carried: int = CARRIED)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()))], ["word", "bucket", "n"])
         release_memory()
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
     path = scratch(docs.sparkSession, "lm-counts")
-    counted.write.parquet(path)
+    with shuffles_removed(docs.sparkSession):
+        counted = docs.select(text_col).mapInArrow(count, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
+        counted.write.parquet(path)
     counted = docs.sparkSession.read.schema(counted.schema).parquet(path)
     named = counted.filter("word is not null").select("word", "n")
     # the least count that not more than ``carried`` words reach: a limit would send as many from every task
@@ -392,7 +394,8 @@ def train(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: s
 
     schema = "block int, tokens long, change binary"
     # one set of weights, whatever the number of documents
-    blocks = docs.select(text_col).mapInArrow(learn, schema).repartition("block").mapInArrow(add, schema).collect()
+    with shuffles_removed(docs.sparkSession):
+        blocks = docs.select(text_col).mapInArrow(learn, schema).repartition("block").mapInArrow(add, schema).collect()
     if not blocks:
         return network
     change = np.concatenate([np.frombuffer(r["change"], np.float64) / r["tokens"] for r in sorted(blocks, key=lambda r: r["block"])])
@@ -538,7 +541,8 @@ def score_documents(docs: DataFrame, counts: Counts, network: Network, id_col: s
 
     types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.float64()]
     schema_of = pa.schema(list(zip(names, types)))
-    scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema).repartitionById(tasks, "part").mapInArrow(meet, schema), "lm-scores")
+    with shuffles_removed(docs.sparkSession):
+        scored = saved(docs.select(id_col, text_col).mapInArrow(run, schema).repartitionById(tasks, "part").mapInArrow(meet, schema), "lm-scores")
     words = scored.filter("words is not null").select("part", "words").repartitionById(word_tasks, "part").select("words")
     gains = scored.filter("gains is not null").select("chunk", "gains").unionAll(words.mapInArrow(count, "chunk long, gains binary"))
     gains = gains.repartition("chunk").mapInArrow(add, "row long, gain double")
